@@ -182,8 +182,6 @@ def shingle_hashes(hashes: np.ndarray, bounds: np.ndarray, size: int = 5) -> tup
     out[whole] = full[at[whole]]
     for i in np.flatnonzero((count > 0) & ~long):
         own = hashes[bounds[i] : bounds[i + 1]]
-        h = np.uint64(len(own))
-        for k, x in enumerate(own):
-            h = h + x * _SHINGLE[k + 5]
-        out[new[i]] = mix64(np.asarray([h]))[0]
+        weights = np.asarray(_SHINGLE[size : size + len(own)], np.uint64)
+        out[new[i]] = mix64(np.asarray([(own * weights).sum(dtype=np.uint64)]) + np.uint64(len(own)))[0]
     return out, new
