@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from attestor.llm import op02_near, op03_lines, op05_chunks, op09_contain, op10_pieces
+from attestor.llm import op02_near, op03_lines, op05_chunks, op07_private, op08_tokens, op09_contain, op10_pieces
 
 QUERIES = {
     "op2_near_classes": op02_near.query,
     "op3_line_labels": op03_lines.query,
     "op5_line_chunks": op05_chunks.query,
+    "op7_private_spans": op07_private.query,
+    "op8_token_files": op08_tokens.query,
     "op9_decontaminate": op09_contain.query,
     "op10_pieces": op10_pieces.query,
 }
