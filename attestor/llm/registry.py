@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from attestor.llm import op02_near, op03_lines, op05_chunks, op07_private, op08_tokens, op09_contain, op10_pieces
+from attestor.llm import op01_repeats, op02_near, op03_lines, op05_chunks, op07_private, op08_tokens, op09_contain, op10_pieces
 
 QUERIES = {
+    "op1_repeats": op01_repeats.query,
     "op2_near_classes": op02_near.query,
     "op3_line_labels": op03_lines.query,
     "op5_line_chunks": op05_chunks.query,
