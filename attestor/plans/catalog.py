@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from attestor.plans import retrieval_queries
+
+QUERIES = {**retrieval_queries.QUERIES}
+ORACLES = {**retrieval_queries.ORACLES}
