@@ -5,16 +5,20 @@ signature coordinates: sigma scatters the elements once; coordinate k is the min
 circularly shifted by k. BANDS bands of ROWS coordinates make documents meet. Two documents of similarity 0.85 share no
 band with a probability under 1e-6.
 
-Documents of equal sets form a class at once (grouped by a 128-bit digest of the set) and only its smallest doc_id goes
-on. In a band's bucket no pairs are enumerated: first every member is compared with the bucket's smallest. Then, in
-rounds, members that are still in another component than the bucket's smallest are compared with a sample of its members
-that doubles until it is the whole bucket, and only across components. So every candidate pair that could join two
-components is verified, and a group of n copies costs about n comparisons a band instead of n squared. Links are
-verified on full sets in Arrow batches; components never reach the driver.
+Documents of equal sets form a class at once (grouped by a 128-bit digest of the set) and only classes go on. Classes
+that share no band with another are done. Of the others the sets are read once, and two exact bounds need no pair: a
+class whose unshared shingles (found in no other candidate's set) exceed 15 % can't be linked at all, and two classes
+can't if the shared part of one is too small against their sizes and unshared shingles together.
+
+In a band's bucket no pairs are enumerated: first every member is compared with the bucket's most shared one, its
+leader. Then, in rounds, members that are still in another component than the leader are compared with a sample of the
+bucket that grows until it is the whole bucket, only across components and within the bounds. So every candidate pair
+that could join two components is verified, and a group of n copies costs about n comparisons a band instead of n
+squared. Links are verified on full sets; components never reach the driver.
 
 Defined cases: a null or blank text has an empty set, n_shingles 0, and is linked with nothing; a text of fewer than
 five words has its whole sequence as one shingle; rows with a null doc_id are linked with nothing and keep a null
-component_id with kept true; rows that share a doc_id are one node, linked by each of their texts, and give one row
+component_id with kept true; rows that share a doc_id are one document, linked by each of their texts, and give one row
 each; further columns are ignored; an empty table gives an empty result.
 """
 
@@ -25,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm.common import dropped, map_rows, mix64, shingle_hashes, slices, table, word_hashes, written
+from attestor.llm.common import dropped, map_rows, mix64, shingle_hashes, table, word_hashes, written
 from attestor.llm.components import components
 
 SIZE, BANDS, ROWS = 5, 24, 5
@@ -90,82 +94,97 @@ def sketch(docs: DataFrame, size: int = SIZE, bands: int = BANDS, rows: int = RO
     return map_rows(docs, {"doc_id": "doc_id", "text": "text"}, make, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, link: int, size: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough; a's text is joined last, so that equal a follow each other."""
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text"))
+def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """id and the distinct shingle hashes of each wanted class (id, rep), from its smallest document."""
 
-    def run(batches):
-        last, set_a = None, None
-        for batch in slices(batches):
+    def make():
+        def each(batch):
             shingles, bounds = shingle_hashes(*word_hashes(batch), size)
-            a, keep = batch["a"].to_pylist(), np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                if last is None or a[i] != last:
-                    own, _ = shingle_hashes(*word_hashes(batch.slice(i, 1), "text_a"), size)
-                    last, set_a = a[i], np.unique(own)
-                set_b = np.unique(shingles[bounds[i] : bounds[i + 1]])
-                if 100 * min(len(set_a), len(set_b)) >= link * max(len(set_a), len(set_b)):
-                    at = np.searchsorted(set_a, set_b)
-                    common = int((set_a[np.minimum(at, len(set_a) - 1)] == set_b).sum())
-                    keep[i] = 100 * common >= link * (len(set_a) + len(set_b) - common)
-            mask = pa.array(keep)
-            yield pa.RecordBatch.from_arrays([batch["a"].filter(mask), batch["b"].filter(mask)], ["a", "b"])
-
-    both = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "text_a", "b", "text")
-    return both.mapInArrow(run, "a long, b long")
+            ids, found = [], []
+            for i, asked in enumerate(batch["id"].to_pylist()):
+                own = np.unique(shingles[bounds[i] : bounds[i + 1]])
+                if len(own) and int(own.sum(dtype=np.uint64).view(np.int64)) == asked:  # a doc_id may have several texts
+                    ids.append(asked)
+                    found.append(own.view(np.int64))
+            if not ids:
+                return None
+            offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))], ["id", "set"])
+
+        return each
+
+    both = docs.select(docs["doc_id"].cast("long").alias("rep"), docs["text"]).where("rep is not null and text is not null").join(wanted.select("id", "rep"), "rep")
+    return map_rows(both, {"id": "id", "text": "text"}, make, "id long, set array<long>").dropDuplicates(["id"])
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, link: int) -> DataFrame:
+    """The pairs (a, b) of classes whose full sets are similar enough."""
+    both = pairs.select("a", "b").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
+    both = both.select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("common"))
+    return both.where(f"100 * common >= {link} * (n + m - common)").select("a", "b")
 
 
 def classes(docs: DataFrame, size: int = SIZE, bands: int = BANDS, rows: int = ROWS, link: int = LINK) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs."""
     spark = docs.sparkSession
     own = written(sketch(docs, size, bands, rows), "sketch")
-    groups = own.where("doc_id is not null and n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.count("*").alias("copies"))
-    keys = written(groups.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key")), "keys")
-    buckets = keys.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("members"), F.min("n").alias("n0"), F.max("n").alias("n1")).where("members > 1")
-    members = written(keys.join(buckets.select("key", "leader", "members"), "key"), "members")  # of buckets with two at least
-
-    texts = docs.select(docs["doc_id"], docs["text"]).where("doc_id is not null and text is not null")
-    sizes = members.select(F.col("rep").alias("leader"), F.col("n").alias("n_leader"), "key")
-    alike = f"100 * least(n, n_leader) >= {link} * greatest(n, n_leader)"  # else the sets can't be similar enough
-    star = members.join(sizes, ["key", "leader"]).where(f"rep <> leader and {alike}").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    star = written(star, "pairs")
-    # rows that share a doc_id: their sets' classes meet in the doc_id itself
-    shared = own.where("doc_id is not null and n_shingles > 0").join(groups.select("h1", "h2", "n_shingles", "rep"), ["h1", "h2", "n_shingles"])
-    linked = written(_verified(star, texts, link, size), "linked")
-    tested, share = star, 1
-    found = written(components(linked.unionByName(shared.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))), "components")
-    while True:
-        at = members.join(found.select(F.col("node").alias("rep"), F.col("component").alias("c")), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
-        mixed = at.groupBy("key").agg(F.max_by("c", F.col("rep") == F.col("leader")).alias("c0"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("key", "c0")
-        at = at.where("members > 2").join(mixed, "key")
-        # 'other': members outside the leader's component; 'probe': a growing sample of all members
-        other = at.where("c <> c0").select("key", F.col("rep").alias("b"), F.col("c").alias("cb"), F.col("n"))
-        chance = (F.pmod(F.xxhash64("key", "rep"), F.lit(1 << 20)) / F.lit(1 << 20)) * F.col("members")
-        probe = at.where(chance < share).select("key", F.col("rep").alias("a"), F.col("c").alias("ca"), F.col("n").alias("n_leader"))
-        pairs = other.join(probe, "key").where(f"ca <> cb and a <> b and {alike}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    full = own.where("doc_id is not null and n_shingles > 0")
+    # a class: its id is the first half of the digest, the second half keeps others from it
+    groups = full.groupBy(F.col("h1").alias("id"), "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    keys = written(groups.select("id", "rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key")), "keys")
+    crowded = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
+    near = written(keys.join(crowded, "key", "left_semi"), "near")
+    sets = written(_sets(docs, near.select("id", "rep").distinct(), size), "sets")
+
+    # shingles that no other candidate has; 32 bits of a hash will do, as a collision only makes a bound weaker
+    single = sets.select("id", F.explode(F.transform("set", lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF)))).alias("h")).groupBy("h").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1")
+    single = single.groupBy("id").agg(F.count("*").alias("u"))
+    near = near.join(single, "id", "left").withColumn("u", F.coalesce("u", F.lit(0))).where(f"100 * (n - u) >= {link} * n")
+    near = written(near, "shared")
+    buckets = near.groupBy("key").agg(F.min(F.struct("u", "rep", "id", "n")).alias("leader"), F.count("*").alias("members")).where("members > 1")
+    buckets = buckets.select("key", "members", F.col("leader.id").alias("leader"), F.col("leader.n").alias("n0"), F.col("leader.u").alias("u0"))
+    members = written(near.join(buckets, "key"), "members")
+
+    # else the sets can't be similar enough: by their sizes, and by what each has alone
+    alike = f"100 * least(n, n0) >= {link} * greatest(n, n0) and 100 * least(n - u, n0 - u0) >= {link} * (u + u0 + greatest(n - u, n0 - u0))"
+    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    tested = written(members.where(f"id <> leader and {alike}").select(F.col("leader").alias("a"), F.col("id").alias("b")).select(*pair).distinct(), "pairs")
+    # a document with several texts links their classes
+    same = full.groupBy("doc_id").agg(F.min("h1").alias("a"), F.collect_set("h1").alias("all")).where("size(all) > 1").select("a", F.explode("all").alias("b")).where("a <> b")
+    linked = written(_verified(tested, sets, link).unionByName(same), "linked")
+    found = written(components(linked), "components")
+    share = GROWTH
+    most = members.agg(F.max("members")).first()[0] or 0
+    while most > 2:  # in buckets of two the star is all there is
+        at = members.where("members > 2").join(found.select(F.col("node").alias("id"), F.col("component").alias("c")), "id", "left").withColumn("c", F.coalesce("c", "id"))
+        # members outside the leader's component, and a growing sample of all members
+        mixed = at.groupBy("key").agg(F.max(F.when(F.col("id") == F.col("leader"), F.col("c"))).alias("c0"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("key", "c0")
+        at = at.join(mixed, "key")
+        other = at.where("c <> c0").select("key", F.col("id").alias("b"), F.col("c").alias("cb"), "n", "u")
+        chance = (F.pmod(F.xxhash64("key", "id"), F.lit(1 << 20)) / F.lit(1 << 20)) * F.col("members")
+        probe = at.where(chance < share).select("key", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("n0"), F.col("u").alias("u0"))
+        pairs = other.join(probe, (other["key"] == probe["key"]) & F.expr(f"ca <> cb and {alike}")).select(*pair).distinct()
         pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        fresh = written(_verified(pairs, texts, link, size), "linked")
-        top = at.agg(F.max("members")).first()[0] or 0
-        whole = share >= top
-        if fresh.isEmpty():
-            if whole:
-                break
-        else:
+        fresh = written(_verified(pairs, sets, link), "linked")
+        if not fresh.isEmpty():
             linked = linked.unionByName(fresh)
-            found = written(components(linked.unionByName(shared.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))), "components")
+            found = written(components(linked), "components")
+        elif share >= most:
+            break
         tested = tested.unionByName(pairs)
         share *= GROWTH
-    out = shared.select("doc_id", "rep", "n_shingles").join(found, F.col("rep") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    node = full.select("doc_id", "n_shingles", F.col("h1").alias("id")).join(found, F.col("id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "id").alias("c"))
+    least = node.groupBy("c").agg(F.min("doc_id").alias("component_id"))
+    out = node.join(least, "c").select("doc_id", "n_shingles", "component_id")
     rest = own.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    dropped(spark, star, members, keys)
+    dropped(spark, keys, sets, members)
     return out.unionByName(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, all columns, whose doc_id is the smallest of its component."""
     gone = classes(docs, **options).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

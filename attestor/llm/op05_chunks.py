@@ -15,6 +15,7 @@ columns are passed on by dedup() and ignored by counts(); an empty table gives a
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import pyarrow as pa
 import xxhash
@@ -94,8 +95,10 @@ def _split(text: str, cut) -> tuple[list[tuple[list[str], int]], list[bool]]:
 
 
 def _joined(docs: DataFrame) -> DataFrame:
-    cut = written(repeats(docs).select(F.col("doc_id").alias("_id"), F.col("cut").alias("_cut")), "cuts")
-    return docs.join(cut, docs["doc_id"] == cut["_id"], "left").drop("_id")
+    """The columns of docs, then the places to cut, under a name that docs can't have."""
+    name = f"_cut_{uuid.uuid4().hex}"
+    cut = written(repeats(docs).select(F.col("doc_id").alias("_id"), F.col("cut").alias(name)), "cuts")
+    return docs.join(cut, docs["doc_id"] == cut["_id"], "left").select(*[docs[c] for c in docs.columns], cut[name])
 
 
 def counts(docs: DataFrame) -> DataFrame:
@@ -104,7 +107,7 @@ def counts(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in slices(batches):
             rows = []
-            for doc_id, text, cut in zip(batch["doc_id"].to_pylist(), texts(batch), batch["_cut"].to_pylist(), strict=True):
+            for doc_id, text, cut in zip(batch["doc_id"].to_pylist(), texts(batch), batch.column(2).to_pylist(), strict=True):
                 parts, gone = _split(text, cut)
                 rest = "\n".join("\n".join(lines) for (lines, _), g in zip(parts, gone, strict=True) if not g)
                 removed = sum(len(lines) for (lines, _), g in zip(parts, gone, strict=True) if g)
@@ -113,7 +116,7 @@ def counts(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [f.split()[0] for f in SCHEMA.split(", ")])
 
     own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
-    return _joined(own).select("doc_id", "text", "_cut").mapInArrow(run, SCHEMA)
+    return _joined(own).mapInArrow(run, SCHEMA)
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -125,8 +128,8 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in slices(batches):
-            new, keep = [], []
-            for text, cut in zip(batch["text"].to_pylist(), batch["_cut"].to_pylist(), strict=True):
+            new, keep, cuts = [], [], batch.column(len(schema)).to_pylist()
+            for text, cut in zip(batch["text"].to_pylist(), cuts, strict=True):
                 if cut:
                     parts, gone = _split(text or "", cut)
                     text = "\n".join("\n".join(lines) for (lines, _), g in zip(parts, gone, strict=True) if not g)
@@ -136,10 +139,10 @@ def dedup(docs: DataFrame) -> DataFrame:
             columns[place] = pa.array(new, columns[place].type)
             if counted is not None:
                 kind = columns[counted].type
-                columns[counted] = pa.array([old if not cut else len(t) for old, t, cut in zip(columns[counted].to_pylist(), new, batch["_cut"].to_pylist(), strict=True)], kind)
+                columns[counted] = pa.array([old if not cut else len(t) for old, t, cut in zip(columns[counted].to_pylist(), new, cuts, strict=True)], kind)
             yield pa.RecordBatch.from_arrays(columns, schema.fieldNames()).filter(pa.array(keep))
 
-    return _joined(docs).select(*[docs[c] for c in schema.fieldNames()], "_cut").mapInArrow(run, schema)
+    return _joined(docs).mapInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
