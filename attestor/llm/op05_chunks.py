@@ -5,7 +5,8 @@ the ends next to it only. A chunk of two or more lines with words whose bytes ha
 corpus, is removed; its first occurrence (smallest doc_id, then smallest place) stays. Chunks of one such line stay.
 
 Digests find the repeats; the chunks themselves are then grouped by their bytes, so equality is decided by comparison.
-Digest rows are aggregated before they are shuffled, and only chunks whose digest repeats go on to the comparison.
+Digest rows are aggregated before they are shuffled, and only chunks whose digest repeats go on to the comparison. The
+joins are merge joins at every size: what repeats grows with the corpus, so none of it is broadcast.
 
 Defined cases: null texts stay null and blank ones as they are; rows with a null doc_id neither lose chunks nor count
 as an occurrence; rows that share a doc_id count as one document where the same chunk stands in the same place; further
@@ -82,7 +83,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     """doc_id and cut, the places and digests of the chunks that have occurred before, of each document with any."""
     digests = _chunks(docs, False)
     again = written(digests.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "repeated")
-    bodies = written(_chunks(docs, True).join(again, ["h1", "h2"], "left_semi"), "chunks")
+    bodies = written(_chunks(docs, True).join(again.hint("merge"), ["h1", "h2"], "left_semi"), "chunks")
     first = bodies.groupBy("h1", "h2", "body").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
     later = bodies.join(first, ["h1", "h2", "body"]).where(F.struct("doc_id", "at") != F.col("first"))
     return later.groupBy("doc_id").agg(F.collect_set(F.struct("at", "h1")).alias("cut"))
@@ -98,7 +99,7 @@ def _joined(docs: DataFrame) -> DataFrame:
     """The columns of docs, then the places to cut, under a name that docs can't have."""
     name = f"_cut_{uuid.uuid4().hex}"
     cut = written(repeats(docs).select(F.col("doc_id").alias("_id"), F.col("cut").alias(name)), "cuts")
-    return docs.join(cut, docs["doc_id"] == cut["_id"], "left").select(*[docs[c] for c in docs.columns], cut[name])
+    return docs.join(cut.hint("merge"), docs["doc_id"] == cut["_id"], "left").select(*[docs[c] for c in docs.columns], cut[name])
 
 
 def counts(docs: DataFrame) -> DataFrame:
