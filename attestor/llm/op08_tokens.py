@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from attestor.llm.common import fresh_path, map_rows, table, texts, written
 
 END_ID, FILE_BYTES, MAGIC = 2, 32 << 20, b"SVBRANK1"
-CACHE = 400_000
+CACHE = 700_000  # words, in two generations; about 200 bytes each
+PACKED = 1 << 20  # values that are packed or unpacked at once; a multiple of four
 SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -61,12 +62,29 @@ class WordEncoder:
                 else:
                     fresh.append(w)
         if fresh:
-            for w, e in zip(fresh, self.library.encode_batch(fresh, add_special_tokens=False), strict=True):
-                new[w] = np.asarray(e.ids, "<u4").tobytes()
+            self._encode_words(fresh)
         get = new.__getitem__
         return [b"".join(map(get, words)) for words in cut]
 
 
+    def _encode_words(self, fresh: list[str]) -> None:
+        """Words of ASCII go to the library as one text, which is cut again by the places of the tokens; others go one
+        by one, as normalisation may move their places."""
+        plain = [w for w in fresh if w.isascii()]
+        for at in range(0, len(plain), 4096):
+            part = plain[at : at + 4096]
+            found = self.library.encode(" ".join(part), add_special_tokens=False)
+            starts = np.cumsum([0, *(len(w) + 1 for w in part)])
+            places = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids))
+            cuts = np.searchsorted(places, starts).tolist()
+            data = np.asarray(found.ids, "<u4").tobytes()
+            for w, a, b in zip(part, cuts[:-1], cuts[1:], strict=True):
+                self.new[w] = data[4 * a : 4 * b]
+        rest = [w for w in fresh if not w.isascii()]
+        for w, e in zip(rest, self.library.encode_batch(rest, add_special_tokens=False), strict=True):
+            self.new[w] = np.asarray(e.ids, "<u4").tobytes()
+
+
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -83,6 +101,11 @@ _LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256
 
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     """(control bytes, data bytes) of 32-bit unsigned values."""
+    parts = [_pack(values[at : at + PACKED]) for at in range(0, len(values), PACKED)]
+    return b"".join(c for c, _ in parts), b"".join(d for _, d in parts)
+
+
+def _pack(values: np.ndarray) -> tuple[bytes, bytes]:
     v = np.ascontiguousarray(values, "<u4")
     length = 1 + (v > 0xFF).astype(np.uint8) + (v > 0xFFFF) + (v > 0xFFFFFF)
     padded = np.zeros(-(-len(v) // 4) * 4, np.uint8)
@@ -94,10 +117,16 @@ def pack(values: np.ndarray) -> tuple[bytes, bytes]:
 
 def unpack(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     """The n values of pack()."""
-    length = _LENGTHS[control].reshape(-1)[:n]
-    out = np.zeros((n, 4), np.uint8)
-    out[np.arange(4, dtype=np.uint8)[None] < length[:, None]] = data
-    return out.reshape(-1).view("<u4")
+    out, at = np.empty(n, "<u4"), 0
+    for i in range(0, n, PACKED):
+        m = min(PACKED, n - i)
+        length = _LENGTHS[control[i // 4 : (i + m + 3) // 4]].reshape(-1)[:m]
+        size = int(length.sum())
+        part = np.zeros((m, 4), np.uint8)
+        part[np.arange(4, dtype=np.uint8)[None] < length[:, None]] = data[at : at + size]
+        out[i : i + m] = part.reshape(-1).view("<u4")
+        at += size
+    return out
 
 
 def _filesystem(uri: str):
@@ -163,13 +192,19 @@ def frequencies(encoded: DataFrame) -> DataFrame:
     """id and n, how often it occurs in all documents."""
 
     def run(batches):
-        total: dict[int, int] = {}
+        total, held = np.zeros(0, np.int64), []
         for batch in batches:
             for packed in batch["ids"].to_pylist():
-                for i, n in zip(*(x.tolist() for x in np.unique(_open(packed), return_counts=True)), strict=True):
-                    total[i] = total.get(i, 0) + n
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int64()), pa.array(total.values(), pa.int64())], ["id", "n"])
+                held.append(_open(packed))
+            if not held:
+                continue
+            own = np.bincount(np.concatenate(held), minlength=len(total))
+            held.clear()
+            own[: len(total)] += total  # as long as the largest id, which the vocabulary bounds
+            total = own
+        ids = np.flatnonzero(total)
+        if len(ids):
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], ["id", "n"])
 
     return encoded.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
@@ -187,12 +222,13 @@ def write_files(encoded: DataFrame, ranks: np.ndarray, folder: str) -> DataFrame
         doc_ids, counts, own = [], [], []
         rank_of = np.zeros(int(ranks.max()) + 1, np.uint32)
         rank_of[ranks] = np.arange(len(ranks), dtype=np.uint32)
+        kind = np.uint16 if len(ranks) <= 1 << 16 else np.uint32
         for batch in parts:
             for d, packed in zip(batch["doc_id"].to_pylist(), batch["ids"].to_pylist(), strict=True):
                 ids = _open(packed)
                 doc_ids.append(d)
                 counts.append(len(ids))
-                own.append(rank_of[ids])
+                own.append(rank_of[ids].astype(kind))
         system, base = _filesystem(folder)
         system.create_dir(base, recursive=True)
         name = f"{key:08d}-{uuid.uuid4().hex}.ids"
