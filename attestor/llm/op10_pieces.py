@@ -22,12 +22,13 @@ from attestor.llm.common import map_rows, table, texts
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 MARK = "▁"
-CACHE = 400_000
-_SEGMENT = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
+CACHE = 500_000  # segments, in two generations; about 225 bytes each
+_SEGMENT = re.compile(" +[^ \n]*|\n|[^ \n]+")
 
 
 class PieceCodec:
-    """Encoder and decoder of one vocabulary; segments are cached in two generations of CACHE / 2 entries."""
+    """Encoder and decoder of one vocabulary. A text is handled with blanks for word marks, one put before it; the ids of
+    each distinct segment are cached, joined by commas."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -53,12 +54,12 @@ class PieceCodec:
                 self.bytes_of.append(piece.replace(MARK, " ").encode())
         if lib.encode("a  b") != lib.encode(f"a{MARK}{MARK}b") or lib.encode(""):
             raise ValueError("the vocabulary's normaliser isn't plain escaping with a leading mark")
-        self.new: dict[str, tuple[int, str]] = {}
-        self.old: dict[str, tuple[int, str]] = {}
+        self.new: dict[str, str] = {}
+        self.old: dict[str, str] = {}
 
     def encode_segment(self, segment: str) -> list[int]:
         """Ids of one segment by the agenda."""
-        symbols: list[str | None] = list(segment)
+        symbols: list[str | None] = list(segment.replace(" ", MARK))
         n = len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         score, agenda = self.score, []
@@ -93,47 +94,40 @@ class PieceCodec:
         return out
 
     def checked(self, fresh: list[str]) -> None:
-        """Encode segments that aren't cached, compare them with the library, and cache them."""
-        if len(self.new) + len(fresh) > CACHE // 2:
-            self.old, self.new = self.new, {}
+        """Encode segments that aren't cached, compare them with the library, decode them again, and cache them."""
         own = [self.encode_segment(s) for s in fresh]
         # the library puts a mark before each text: a segment without one follows a line end here
-        theirs = self.library.encode([s[1:] if s[0] == MARK else "\n" + s for s in fresh], num_threads=1)
+        theirs = self.library.encode([s[1:] if s[0] == " " else "\n" + s for s in fresh], num_threads=1)
         lead = [self.ids[MARK], self.fallback[10]]
         for s, mine, lib in zip(fresh, own, theirs, strict=True):
-            if s[0] != MARK:
+            if s[0] != " ":
                 if lib[:2] != lead:
                     raise ValueError(f"the library encodes a line end as {lib[:2]}")
                 lib = lib[2:]
-            elif s == MARK:
+            elif s == " ":
                 lib = mine  # the library gives no ids for an empty text; the mark is tested with longer segments
             if mine != lib:
                 raise ValueError(f"{s!r}: agenda {mine}, library {lib}")
-            self.new[s] = (tuple(mine), ",".join(map(str, mine)))
-
-    def encode_batch(self, batch: list[str]) -> list[tuple[list[int], str]]:
-        """(ids, ids joined by commas) of each text."""
-        cut = [_SEGMENT.findall(MARK + t.replace(" ", MARK)) if t else [] for t in batch]
-        new, old, fresh, out = self.new, self.old, {}, []
-        for segments in cut:
-            for s in segments:
-                if s not in new:
-                    if s in old:
-                        new[s] = old[s]
-                    else:
-                        fresh[s] = None
-        held = new
+            if (" " if s[0] == " " else "") + self.decode(mine) != s:
+                raise ValueError(f"{s!r} isn't what {mine} decode to")
+            self.new[s] = ",".join(map(str, mine))
+
+    def encode_batch(self, batch: list[str]) -> list[tuple[list[str], str]]:
+        """(segments, ids joined by commas) of each text; each segment is what its ids decode to."""
+        cut = [_SEGMENT.findall(" " + t.replace(MARK, " ")) if t else [] for t in batch]
+        if len(self.new) > CACHE // 2:
+            self.old, self.new = self.new, {}
+        new, old, fresh = self.new, self.old, []
+        for s in set().union(*cut):
+            if s not in new:
+                if s in old:
+                    new[s] = old[s]
+                else:
+                    fresh.append(s)
         if fresh:
-            self.checked(list(fresh))
-            if self.new is not new:  # the generations have changed: what this batch needs is in the two
-                held = {**self.old, **self.new}
-        for segments in cut:
-            found = [held[s] for s in segments]
-            ids: list[int] = []
-            for own, _ in found:
-                ids += own
-            out.append((ids, ",".join([joined for _, joined in found])))
-        return out
+            self.checked(fresh)
+        get = new.__getitem__
+        return [(segments, ",".join(map(get, segments))) for segments in cut]
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids: pieces joined, byte pieces as UTF-8, the leading mark dropped."""
@@ -160,7 +154,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         own = codec(path)
 
         def each(batch):
-            return pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), pa.array([i for i, _ in own.encode_batch(texts(batch))], pa.list_(pa.int32()))], ["doc_id", "ids"])
+            return pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), pa.array([list(map(int, j.split(","))) if j else [] for _, j in own.encode_batch(texts(batch))], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
         return each
 
@@ -189,9 +183,10 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
             return pa.RecordBatch.from_arrays(
                 [
                     batch["doc_id"].cast(pa.int64()),
-                    pa.array([len(i) for i, _ in found], pa.int64()),
+                    pa.array([j.count(",") + 1 if j else 0 for _, j in found], pa.int64()),
                     pa.array([hashlib.sha256(j.encode()).hexdigest() for _, j in found], pa.string()),
-                    pa.array([hashlib.sha256(own.decode(i).encode()).hexdigest() for i, _ in found], pa.string()),
+                    # what the ids decode to: the decoded segments, without the blank put before the text
+                    pa.array([hashlib.sha256("".join(segments)[1:].encode()).hexdigest() for segments, _ in found], pa.string()),
                 ],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
