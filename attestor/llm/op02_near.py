@@ -113,7 +113,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
         return each
 
-    both = docs.select(docs["doc_id"].cast("long").alias("rep"), docs["text"]).where("rep is not null and text is not null").join(wanted.select("id", "rep"), "rep")
+    both = docs.select(docs["doc_id"].cast("long").alias("rep"), docs["text"]).where("rep is not null and text is not null").join(wanted.select("id", "rep").hint("merge"), "rep")
     return map_rows(both, {"id": "id", "text": "text"}, make, "id long, set array<long>").dropDuplicates(["id"])
 
 
@@ -160,10 +160,13 @@ def classes(docs: DataFrame, size: int = SIZE, bands: int = BANDS, rows: int = R
         # members outside the leader's component, and a growing sample of all members
         mixed = at.groupBy("key").agg(F.max(F.when(F.col("id") == F.col("leader"), F.col("c"))).alias("c0"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("key", "c0")
         at = at.join(mixed, "key")
-        other = at.where("c <> c0").select("key", F.col("id").alias("b"), F.col("c").alias("cb"), "n", "u")
+        at = at.join(at.groupBy("id").agg(F.collect_set("key").alias("keys")), "id")
+        other = at.where("c <> c0").select("key", F.col("id").alias("b"), F.col("c").alias("cb"), "n", "u", F.col("keys").alias("kb"))
         chance = (F.pmod(F.xxhash64("key", "id"), F.lit(1 << 20)) / F.lit(1 << 20)) * F.col("members")
-        probe = at.where(chance < share).select("key", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("n0"), F.col("u").alias("u0"))
-        pairs = other.join(probe, (other["key"] == probe["key"]) & F.expr(f"ca <> cb and {alike}")).select(*pair).distinct()
+        probe = at.where(chance < share).select("key", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("n0"), F.col("u").alias("u0"), F.col("keys").alias("ka"))
+        # a pair that meets in several buckets is taken in the first of them only
+        once = F.array_min(F.array_intersect("ka", "kb")) == other["key"]
+        pairs = other.join(probe, (other["key"] == probe["key"]) & F.expr(f"ca <> cb and {alike}") & once).select(*pair).distinct()
         pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         fresh = written(_verified(pairs, sets, link), "linked")
         if not fresh.isEmpty():
@@ -184,7 +187,7 @@ def classes(docs: DataFrame, size: int = SIZE, bands: int = BANDS, rows: int = R
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, all columns, whose doc_id is the smallest of its component."""
     gone = classes(docs, **options).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    return docs.join(gone.hint("merge"), docs["doc_id"] == gone["_gone"], "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

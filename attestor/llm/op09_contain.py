@@ -93,7 +93,7 @@ def search(docs: DataFrame, items: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs, all columns, in which no item is found."""
     found = search(docs, items).select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(found, docs["doc_id"] == found["_found"], "left_anti")
+    return docs.join(found.hint("merge"), docs["doc_id"] == found["_found"], "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
