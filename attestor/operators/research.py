@@ -5,6 +5,7 @@ A round's state is written to the shared checkpoint folder, so a lost executor c
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -21,7 +22,7 @@ def search(pages: DataFrame, queries: list[str], results: int = RESULTS) -> Data
     for i, q in enumerate(queries):
         words = q.lower().split()
         low = F.lower("content")
-        hit = pages.where(" and ".join(["true"] * 1))
+        hit = pages
         for w in words:
             hit = hit.where(F.contains(low, F.lit(w)))
         part = hit.select(F.lit(i).alias("query_no"), "result_id", "url", "content", F.regexp_count(low, F.lit(r"\Q" + words[0] + r"\E")).alias("weight")).orderBy(F.desc("weight"), "result_id").limit(results)
@@ -46,10 +47,9 @@ def planner(taken: DataFrame, executed: list[str], queries: int) -> list[str]:
 def run(pages: DataFrame, first: list[str], rounds: int = ROUNDS, queries: int = QUERIES, sources: int = SOURCES, plan: Callable[[DataFrame, list[str], int], list[str]] = planner) -> DataFrame:
     """canonical, round, result_id and n_chars of the sources taken in, and why the loop stopped."""
     spark = pages.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="attestor-"))
+    if not spark.sparkContext.getCheckpointDir():  # the cluster's shared folder; one of our own only where none is set
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        spark.sparkContext.setCheckpointDir(shared or "file://" + tempfile.mkdtemp(prefix="attestor-"))
     executed: list[str] = []
     asked, taken, n, reason = first, None, 0, "max_rounds"
     for number in range(1, rounds + 1):
