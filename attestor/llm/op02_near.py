@@ -34,7 +34,7 @@ from attestor.llm.components import components
 
 SIZE, BANDS, ROWS = 5, 24, 5
 LINK = 85  # 100 * intersection >= LINK * union
-GROWTH = 8  # factor of a bucket's sample from round to round
+GROWTH = 16  # factor of a bucket's sample from round to round
 _SEED = np.uint32(0x85EBCA6B)
 
 
@@ -153,7 +153,7 @@ def classes(docs: DataFrame, size: int = SIZE, bands: int = BANDS, rows: int = R
     same = full.groupBy("doc_id").agg(F.min("h1").alias("a"), F.collect_set("h1").alias("all")).where("size(all) > 1").select("a", F.explode("all").alias("b")).where("a <> b")
     linked = written(_verified(tested, sets, link).unionByName(same), "linked")
     found = written(components(linked), "components")
-    share = GROWTH
+    before, share = 0, GROWTH
     most = members.agg(F.max("members")).first()[0] or 0
     while most > 2:  # in buckets of two the star is all there is
         at = members.where("members > 2").join(found.select(F.col("node").alias("id"), F.col("component").alias("c")), "id", "left").withColumn("c", F.coalesce("c", "id"))
@@ -161,11 +161,14 @@ def classes(docs: DataFrame, size: int = SIZE, bands: int = BANDS, rows: int = R
         mixed = at.groupBy("key").agg(F.max(F.when(F.col("id") == F.col("leader"), F.col("c"))).alias("c0"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("key", "c0")
         at = at.join(mixed, "key")
         at = at.join(at.groupBy("id").agg(F.collect_set("key").alias("keys")), "id")
-        other = at.where("c <> c0").select("key", F.col("id").alias("b"), F.col("c").alias("cb"), "n", "u", F.col("keys").alias("kb"))
         chance = (F.pmod(F.xxhash64("key", "id"), F.lit(1 << 20)) / F.lit(1 << 20)) * F.col("members")
-        probe = at.where(chance < share).select("key", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("n0"), F.col("u").alias("u0"), F.col("keys").alias("ka"))
+        at = at.withColumn("chance", chance)
+        other = at.where("c <> c0").select("key", F.col("id").alias("b"), F.col("c").alias("cb"), "n", "u", F.col("keys").alias("kb"), F.col("chance").alias("xb"))
+        probe = at.where((F.col("chance") >= before) & (F.col("chance") < share)).select("key", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("n0"), F.col("u").alias("u0"), F.col("keys").alias("ka"), F.expr("c <> c0").alias("outside"))
         # a pair that meets in several buckets is taken in the first of them only
         once = F.array_min(F.array_intersect("ka", "kb")) == other["key"]
+        # of two outside the leader's component, the one that is sampled first is the probe
+        once &= ~F.expr(f"outside and (xb < {before} or xb < {share} and a > b)")
         pairs = other.join(probe, (other["key"] == probe["key"]) & F.expr(f"ca <> cb and {alike}") & once).select(*pair).distinct()
         pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         fresh = written(_verified(pairs, sets, link), "linked")
@@ -175,7 +178,7 @@ def classes(docs: DataFrame, size: int = SIZE, bands: int = BANDS, rows: int = R
         elif share >= most:
             break
         tested = tested.unionByName(pairs)
-        share *= GROWTH
+        before, share = share, share * GROWTH
     node = full.select("doc_id", "n_shingles", F.col("h1").alias("id")).join(found, F.col("id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "id").alias("c"))
     least = node.groupBy("c").agg(F.min("doc_id").alias("component_id"))
     out = node.join(least, "c").select("doc_id", "n_shingles", "component_id")
