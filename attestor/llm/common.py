@@ -66,10 +66,23 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
             yield batch.slice(a, b - a)
 
 
-def map_rows(df: DataFrame, columns: dict[str, str | Column], make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
-    """mapInArrow over the named columns only; make() runs once a task and gives the function for each slice."""
+#: Caches that a worker keeps from task to task, by the operator that fills them.
+kept: dict[str, dict] = {}
+
+
+def forget_others(own: str = "") -> None:
+    """Drop what other operators have cached: a worker serves one after the other, as in the pipeline."""
+    for name, cache in kept.items():
+        if name != own:
+            cache.clear()
+
+
+def map_rows(df: DataFrame, columns: dict[str, str | Column], make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str, keeps: str = "") -> DataFrame:
+    """mapInArrow over the named columns only; make() runs once a task and gives the function for each slice. keeps: the
+    name in `kept` of the caches that the tasks use."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others(keeps)
         each = make()
         for part in slices(batches):
             out = each(part)

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm.common import fresh_path, map_rows, table, texts, written
+from attestor.llm.common import fresh_path, kept, map_rows, table, texts, written
 
 END_ID, FILE_BYTES, MAGIC = 2, 32 << 20, b"SVBRANK1"
 CACHE = 700_000  # words, in two generations; about 200 bytes each
@@ -85,7 +85,7 @@ class WordEncoder:
             self.new[w] = np.asarray(e.ids, "<u4").tobytes()
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[str, WordEncoder] = kept.setdefault("tokens", {})
 
 
 def encoder(path: str) -> WordEncoder:
@@ -180,7 +180,7 @@ def encode(docs: DataFrame, path: str, end_id: int = END_ID, file_text: int = FI
 
         return each
 
-    rows = map_rows(docs, {"doc_id": "doc_id", "text": "text"}, make, "part int, doc_id long, ids binary")
+    rows = map_rows(docs, {"doc_id": "doc_id", "text": "text"}, make, "part int, doc_id long, ids binary", "tokens")
     return written(rows, "ids")
 
 

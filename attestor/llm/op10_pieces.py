@@ -18,7 +18,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from attestor.llm.common import map_rows, table, texts
+from attestor.llm.common import kept, map_rows, table, texts
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 MARK = "▁"
@@ -138,7 +138,7 @@ class PieceCodec:
         return data.decode("utf-8", "replace")
 
 
-_codecs: dict[str, PieceCodec] = {}
+_codecs: dict[str, PieceCodec] = kept.setdefault("pieces", {})
 
 
 def codec(path: str) -> PieceCodec:
@@ -158,7 +158,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
         return each
 
-    return map_rows(docs, {"doc_id": "doc_id", "text": "text"}, make, "doc_id long, ids array<int>")
+    return map_rows(docs, {"doc_id": "doc_id", "text": "text"}, make, "doc_id long, ids array<int>", "pieces")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -193,7 +193,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
 
         return each
 
-    return map_rows(docs, {"doc_id": "doc_id", "text": "text"}, make, SCHEMA)
+    return map_rows(docs, {"doc_id": "doc_id", "text": "text"}, make, SCHEMA, "pieces")
 
 
 def default_model() -> str:
