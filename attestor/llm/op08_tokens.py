@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -68,9 +69,9 @@ class WordEncoder:
 
 
     def _encode_words(self, fresh: list[str]) -> None:
-        """Words of ASCII go to the library as one text, which is cut again by the places of the tokens; others go one
-        by one, as normalisation may move their places."""
-        plain = [w for w in fresh if w.isascii()]
+        """Words in composed form go to the library as one text, which is cut again by the places of the tokens; others
+        go one by one, as normalisation may move their places."""
+        plain = [w for w in fresh if is_normalized("NFC", w)]
         for at in range(0, len(plain), 4096):
             part = plain[at : at + 4096]
             found = self.library.encode(" ".join(part), add_special_tokens=False)
@@ -80,7 +81,7 @@ class WordEncoder:
             data = np.asarray(found.ids, "<u4").tobytes()
             for w, a, b in zip(part, cuts[:-1], cuts[1:], strict=True):
                 self.new[w] = data[4 * a : 4 * b]
-        rest = [w for w in fresh if not w.isascii()]
+        rest = [w for w in fresh if not is_normalized("NFC", w)]
         for w, e in zip(rest, self.library.encode_batch(rest, add_special_tokens=False), strict=True):
             self.new[w] = np.asarray(e.ids, "<u4").tobytes()
 
