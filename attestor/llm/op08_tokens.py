@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from attestor.llm.common import fresh_path, kept, map_rows, table, texts, written
 
 END_ID, FILE_BYTES, MAGIC = 2, 32 << 20, b"SVBRANK1"
-CACHE = 700_000  # words, in two generations; about 200 bytes each
+CACHE = 1_000_000  # words, in two generations; about 200 bytes each
 PACKED = 1 << 20  # values that are packed or unpacked at once; a multiple of four
 SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
