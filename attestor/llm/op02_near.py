@@ -3,12 +3,13 @@
 A text's set: its distinct five-word shingles, held as 64-bit hashes. Two permutations of the 32-bit integers give all
 signature coordinates: sigma scatters the elements once; coordinate k is the minimum of pi(sigma(x) + k), the same pi
 circularly shifted by k. BANDS bands of ROWS coordinates make documents meet. Two documents of similarity 0.85 share no
-band with a probability under 1e-6.
+band with a probability under 1e-6. keep_one() and the pipeline link from 0.80 on and take WIDE_BANDS bands for it, which
+leave the same probability at 0.80; LINK is the query's own bound.
 
 Documents of equal sets form a class at once (grouped by a 128-bit digest of the set) and only classes go on. Classes
 that share no band with another are done. Of the others the sets are read once, and two exact bounds need no pair: a
-class whose unshared shingles (found in no other candidate's set) exceed 15 % can't be linked at all, and two classes
-can't if the shared part of one is too small against their sizes and unshared shingles together.
+class whose unshared shingles (found in no other candidate's set) exceed 100 - link % can't be linked at all, and two
+classes can't if the shared part of one is too small against their sizes and unshared shingles together.
 
 In a band's bucket no pairs are enumerated: first every member is compared with the bucket's most shared one, its
 leader. Then, in rounds, members that are still in another component than the leader are compared with a sample of the
@@ -34,6 +35,7 @@ from attestor.llm.components import components
 
 SIZE, BANDS, ROWS = 5, 24, 5
 LINK = 85  # 100 * intersection >= LINK * union
+WIDE_LINK, WIDE_BANDS = 80, 35  # of keep_one()
 GROWTH = 16  # factor of a bucket's sample from round to round
 _SEED = np.uint32(0x85EBCA6B)
 
@@ -188,7 +190,8 @@ def classes(docs: DataFrame, size: int = SIZE, bands: int = BANDS, rows: int = R
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, all columns, whose doc_id is the smallest of its component."""
+    """The rows of docs, all columns, whose doc_id is the smallest of its component; linked from WIDE_LINK on."""
+    options = {"bands": WIDE_BANDS, "link": WIDE_LINK} | options
     gone = classes(docs, **options).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone.hint("merge"), docs["doc_id"] == gone["_gone"], "left_anti")
 

@@ -23,8 +23,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near duplicates."""
-    return op02_near.keep_one(docs)
+    """One document, that of the smallest doc_id, of each group of near duplicates (similarity 0.80 or more)."""
+    return op02_near.keep_one(docs, bands=op02_near.WIDE_BANDS, link=op02_near.WIDE_LINK)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
