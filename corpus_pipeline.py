@@ -18,8 +18,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the multi-line chunks that occur before; documents of which nothing is left go."""
-    return op05_chunks.dedup(docs)
+    """Texts without the multi-line chunks and passages that occur before; documents of which nothing is left go."""
+    return op05_chunks.dedup(docs, fine=True)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

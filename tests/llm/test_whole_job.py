@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 import corpus_pipeline
-from attestor.llm import op02_near
+from attestor.llm import op02_near, op05_chunks
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -32,3 +33,52 @@ def test_near_stage_links_from_080(spark):
     assert {r["doc_id"] for r in op02_near.keep_one(frame(spark, rows)).collect()} == expected
     assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, frame(spark, rows), "").collect()} == expected
     assert (1 - 0.8**op02_near.ROWS) ** op02_near.WIDE_BANDS < 1e-6
+
+
+def without_repeats(rows):
+    """Brute force: lines of windows of two lines that have occurred before, and of chunks that have."""
+    places, seen, out = {}, set(), {}
+    for d, t in sorted(rows):
+        lines = t.split("\n")
+        filled = [i for i, line in enumerate(lines) if line.strip()]
+        gone = set()
+        for k, (a, b) in enumerate(zip(filled, filled[1:], strict=False)):
+            first = places.setdefault(tuple(lines[a : b + 1]), (d, k))
+            if first[0] != d or k > first[1] + 1:
+                gone |= set(range(a, b + 1))
+        at = 0
+        for chunk, n in op05_chunks.chunks_of(t):
+            body = "\n".join(chunk)
+            if n >= 2 and body in seen:
+                gone |= set(range(at, at + len(chunk)))
+            seen |= {body} if n >= 2 else set()
+            at += len(chunk)
+        out[d] = (len(gone), "\n".join(line for i, line in enumerate(lines) if i not in gone))
+    return out
+
+
+def test_short_passages_go(spark):
+    """Passages of two to six lines inside otherwise different documents, blank lines, and a line that repeats itself."""
+    rnd = random.Random(9)
+    passages = [[f"passage {p} line {i}" for i in range(rnd.randint(2, 6))] for p in range(12)]
+    rows = []
+    for d in range(60):
+        own = [f"own line {d} {i}" for i in range(rnd.randint(2, 8))]
+        if rnd.random() < 0.3:
+            own.insert(rnd.randint(0, len(own)), " " * rnd.randint(0, 2))
+        at = rnd.randint(0, len(own))
+        own[at:at] = rnd.choice(passages)
+        rows.append((d, "\n".join(own)))
+    rows += [(90, "\n".join(["again"] * 7)), (91, "x\n\ny\nz"), (92, "x\ny\nz"), (93, "")]
+    expected = without_repeats(rows)
+    got = {r["doc_id"]: r for r in op05_chunks.counts(frame(spark, rows), fine=True).collect()}
+    assert {d: (r["n_removed_lines"], r["kept_sha256"]) for d, r in got.items()} == {d: (n, hashlib.sha256(t.encode()).hexdigest()) for d, (n, t) in expected.items()}
+    assert got[90]["n_removed_lines"] == 5 and got[92]["n_removed_lines"] == 2
+    seen = set()
+    for d, t in rows[:60]:  # of a passage that has occurred before, nothing is left
+        for i, p in enumerate(passages):
+            if "\n".join(p) in t:
+                assert i not in seen or not set(p) & set(expected[d][1].split("\n"))
+                seen.add(i)
+    stage = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, frame(spark, rows), "").collect()}
+    assert stage == {d: t for d, (n, t) in expected.items() if t.strip() or not n}
