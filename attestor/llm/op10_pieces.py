@@ -3,7 +3,8 @@
 Encoding works on a score-ordered agenda: a heap holds the adjacent symbol pairs that form a piece; the best score (the
 leftmost among equals) is merged first. No piece of such a vocabulary reaches over a word mark or a line end, which is
 verified when the model is read, so a text is cut there and each distinct segment is encoded once per worker. Every
-segment that an Arrow batch brings for the first time is compared with the sentencepiece library's own result.
+segment that an Arrow batch brings for the first time is compared with the sentencepiece library's own result. The ids of
+each whole document are decoded again, and what comes out is hashed.
 
 Defined cases: a null text counts as empty and has no ids; the decoded text of no ids is empty; rows with a null doc_id
 and repeated rows give one row each; further columns are ignored; an empty table gives an empty result.
@@ -112,8 +113,8 @@ class PieceCodec:
                 raise ValueError(f"{s!r} isn't what {mine} decode to")
             self.new[s] = ",".join(map(str, mine))
 
-    def encode_batch(self, batch: list[str]) -> list[tuple[list[str], str]]:
-        """(segments, ids joined by commas) of each text; each segment is what its ids decode to."""
+    def encode_batch(self, batch: list[str]) -> list[str]:
+        """The ids of each text, joined by commas."""
         cut = [_SEGMENT.findall(" " + t.replace(MARK, " ")) if t else [] for t in batch]
         if len(self.new) > CACHE // 2:
             self.old, self.new = self.new, {}
@@ -127,7 +128,15 @@ class PieceCodec:
         if fresh:
             self.checked(fresh)
         get = new.__getitem__
-        return [(segments, ",".join(map(get, segments))) for segments in cut]
+        return [",".join(map(get, segments)) for segments in cut]
+
+    def digests(self, batch: list[str]) -> list[tuple[int, str, str]]:
+        """Number of ids, digest of the ids and digest of the text that they decode to, of each text."""
+        out = []
+        for joined in self.encode_batch(batch):
+            ids = list(map(int, joined.split(","))) if joined else []
+            out.append((len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(self.decode(ids).encode()).hexdigest()))
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids: pieces joined, byte pieces as UTF-8, the leading mark dropped."""
@@ -154,7 +163,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         own = codec(path)
 
         def each(batch):
-            return pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), pa.array([list(map(int, j.split(","))) if j else [] for _, j in own.encode_batch(texts(batch))], pa.list_(pa.int32()))], ["doc_id", "ids"])
+            return pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), pa.array([list(map(int, j.split(","))) if j else [] for j in own.encode_batch(texts(batch))], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
         return each
 
@@ -179,17 +188,8 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
         own = codec(path)
 
         def each(batch):
-            found = own.encode_batch(texts(batch))
-            return pa.RecordBatch.from_arrays(
-                [
-                    batch["doc_id"].cast(pa.int64()),
-                    pa.array([j.count(",") + 1 if j else 0 for _, j in found], pa.int64()),
-                    pa.array([hashlib.sha256(j.encode()).hexdigest() for _, j in found], pa.string()),
-                    # what the ids decode to: the decoded segments, without the blank put before the text
-                    pa.array([hashlib.sha256("".join(segments)[1:].encode()).hexdigest() for segments, _ in found], pa.string()),
-                ],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            n, ids, decoded = zip(*own.digests(texts(batch)), strict=True)
+            return pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
         return each
 

@@ -6,7 +6,7 @@ import hashlib
 import random
 
 import corpus_pipeline
-from attestor.llm import op02_near, op05_chunks
+from attestor.llm import op02_near, op05_chunks, op10_pieces
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -82,3 +82,14 @@ def test_short_passages_go(spark):
                 seen.add(i)
     stage = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, frame(spark, rows), "").collect()}
     assert stage == {d: t for d, (n, t) in expected.items() if t.strip() or not n}
+
+
+def test_decoded_digest_is_of_the_ids():
+    """A fault in the ids shows in the digest of the decoded text."""
+    own = op10_pieces.PieceCodec(op10_pieces.default_model())
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    text = "some words\nof a  text é 你"
+    ids = own.library.encode(text)
+    assert own.digests([text, ""]) == [(len(ids), sha(",".join(map(str, ids))), sha(own.library.decode(ids))), (0, sha(""), sha(""))]
+    own.new[" words"] = own.new[" some"]
+    assert own.digests([text])[0][2] == sha("some some\nof a  text é 你")
