@@ -7,6 +7,7 @@ import random
 
 import corpus_pipeline
 from attestor.llm import op02_near, op05_chunks, op10_pieces
+from attestor.operators import metrics
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -93,3 +94,11 @@ def test_decoded_digest_is_of_the_ids():
     assert own.digests([text, ""]) == [(len(ids), sha(",".join(map(str, ids))), sha(own.library.decode(ids))), (0, sha(""), sha(""))]
     own.new[" words"] = own.new[" some"]
     assert own.digests([text])[0][2] == sha("some some\nof a  text é 你")
+
+
+def test_all_short_queries_are_compared(spark):
+    """More than 10,000 queries of fewer than five words."""
+    n = 10_050
+    docs = spark.createDataFrame([(1, "".join(f"[{i}]" for i in range(n))), (2, "nothing"), (3, None)], "doc_id long, text string")
+    queries = spark.range(n).selectExpr("id as query_id", "concat('[', id, ']') as text")
+    assert {tuple(r) for r in metrics.containing(docs, queries).collect()} == {(i, 1) for i in range(n)}
