@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -11,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,9 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset a folder of this machine is taken in
+    local mode (tests), where driver and executors are one process; on a cluster it is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="attestor-")
         atexit.register(shutil.rmtree, at.removeprefix("file://"), True)
         spark.conf.set("spark.checkpoint.dir", at)
@@ -147,30 +152,18 @@ def prefix_hash(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sums, _held["i"]
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOW = np.arange(256, dtype=np.uint8)
-_LOW[65:91] += 32
-
-
 def word_hashes(batch: pa.RecordBatch, name: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of the words of all rows, bounds): row i has words bounds[i]:bounds[i+1]. ASCII capitals are lowered."""
-    column = pc.fill_null(batch[name], "").cast(pa.large_binary())
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] if len(column) else np.zeros(0, np.uint8)
-    offsets = offsets - (offsets[0] if len(offsets) else 0)
-    data = _LOW[data]
-    inside = np.concatenate([[False], ~_SPACE[data], [False]])
-    first = inside[1:-1] & ~inside[:-2]
-    last = inside[1:-1] & ~inside[2:]
-    row_start = offsets[:-1][offsets[:-1] < offsets[1:]]  # a word ends with its row
-    first[row_start] |= inside[1:-1][row_start]
-    before = row_start[row_start > 0] - 1
-    last[before] |= inside[1:-1][before]
-    a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
-    sums, inverse = prefix_hash(data)
-    hashes = mix64((sums[b] - sums[a]) * inverse[a] + (b - a).astype(np.uint64))
-    return hashes, np.searchsorted(a, offsets)
+    """(hashes of the words of all rows, bounds): row i has words bounds[i]:bounds[i+1]. ASCII capitals are lowered.
+    Each distinct word of the batch is hashed once, by xxh3."""
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(batch[name].cast(pa.string()), "")))
+    own, offsets = cut.flatten(), np.asarray(cut.offsets).astype(np.int64)
+    offsets = offsets - offsets[0]
+    filled = np.asarray(pc.binary_length(own)) > 0  # white space at the ends leaves empty words
+    distinct = own.filter(pa.array(filled)).dictionary_encode()
+    if isinstance(distinct, pa.ChunkedArray):
+        distinct = distinct.combine_chunks()
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct.dictionary.to_pylist()), np.uint64, len(distinct.dictionary))
+    return hashes[np.asarray(distinct.indices)], np.concatenate([[0], np.cumsum(filled)])[offsets]
 
 
 _SHINGLE = [np.uint64(pow(0xD6E8FEB86659FD93, k + 1, 1 << 64)) for k in range(16)]
@@ -181,7 +174,7 @@ def shingle_hashes(hashes: np.ndarray, bounds: np.ndarray, size: int = 5) -> tup
     count = np.diff(bounds)
     n = len(hashes)
     full = np.zeros(max(0, n - size + 1), np.uint64)
-    for k in range(size):
+    for k in range(size if len(full) else 0):
         full += hashes[k : n - size + 1 + k] * _SHINGLE[k]
     full = mix64(full)
     sizes = np.where(count >= size, count - size + 1, (count > 0).astype(np.int64))

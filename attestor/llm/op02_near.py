@@ -6,7 +6,8 @@ circularly shifted by k. BANDS bands of ROWS coordinates make documents meet. Tw
 band with a probability under 1e-6. keep_one() and the pipeline link from 0.80 on and take WIDE_BANDS bands for it, which
 leave the same probability at 0.80; LINK is the query's own bound.
 
-Documents of equal sets form a class at once (grouped by a 128-bit digest of the set) and only classes go on. Classes
+Words are hashed by xxh3, shingles by a mix of five such hashes. Documents of equal sets form a class at once (grouped by
+a 128-bit digest of the set; a class is named by both halves of it everywhere) and only classes go on. Classes
 that share no band with another are done. Of the others the sets are read once, and two exact bounds need no pair: a
 class whose unshared shingles (found in no other candidate's set) exceed 100 - link % can't be linked at all, and two
 classes can't if the shared part of one is too small against their sizes and unshared shingles together.
@@ -25,6 +26,8 @@ each; further columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +41,7 @@ LINK = 85  # 100 * intersection >= LINK * union
 WIDE_LINK, WIDE_BANDS = 80, 35  # of keep_one()
 GROWTH = 16  # factor of a bucket's sample from round to round
 _SEED = np.uint32(0x85EBCA6B)
+ID = pa.decimal128(38, 0)
 
 
 def _pi(x: np.ndarray) -> np.ndarray:
@@ -70,30 +74,37 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def set_id(own: np.ndarray) -> Decimal:
+    """Digest of a set of distinct hashes, 125 bits of two independent halves: a number that Spark sorts, hashes and
+    aggregates by."""
+    first = int(own.sum(dtype=np.uint64))
+    second = int(np.bitwise_xor.reduce(mix64(own + np.uint64(0x632BE59BD9B4E019))))
+    return Decimal((first << 61) | (second >> 3))
+
+
 def sketch(docs: DataFrame, size: int = SIZE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit digest of the set (h1, h2) and the band keys of each document."""
+    """doc_id, n_shingles, the digest of the set (id) and the band keys of each document."""
 
     def make():
         def each(batch):
             shingles, bounds = shingle_hashes(*word_hashes(batch), size)
             n = batch.num_rows
-            count, digest = np.zeros(n, np.int64), np.zeros((2, n), np.uint64)
+            count, ids = np.zeros(n, np.int64), [None] * n
             for i in np.flatnonzero(bounds[:-1] < bounds[1:]):
                 own = np.unique(shingles[bounds[i] : bounds[i + 1]])
                 count[i] = len(own)
-                digest[0, i] = own.sum(dtype=np.uint64)
-                digest[1, i] = np.bitwise_xor.reduce(mix64(own + np.uint64(0x632BE59BD9B4E019)))
+                ids[i] = set_id(own)
             keys = band_keys(signatures(shingles, bounds, bands * rows), bands, rows)
             filled = count > 0
             offsets = np.concatenate([[0], np.cumsum(filled * bands)]).astype(np.int32)
             return pa.RecordBatch.from_arrays(
-                [batch["doc_id"].cast(pa.int64()), pa.array(count), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()))],
-                ["doc_id", "n_shingles", "h1", "h2", "bands"],
+                [batch["doc_id"].cast(pa.int64()), pa.array(count), pa.array(ids, ID), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()))],
+                ["doc_id", "n_shingles", "id", "bands"],
             )
 
         return each
 
-    return map_rows(docs, {"doc_id": "doc_id", "text": "text"}, make, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>")
+    return map_rows(docs, {"doc_id": "doc_id", "text": "text"}, make, "doc_id long, n_shingles long, id decimal(38,0), bands array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -105,18 +116,18 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             ids, found = [], []
             for i, asked in enumerate(batch["id"].to_pylist()):
                 own = np.unique(shingles[bounds[i] : bounds[i + 1]])
-                if len(own) and int(own.sum(dtype=np.uint64).view(np.int64)) == asked:  # a doc_id may have several texts
+                if len(own) and set_id(own) == asked:  # a doc_id may have several texts
                     ids.append(asked)
                     found.append(own.view(np.int64))
             if not ids:
                 return None
             offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))], ["id", "set"])
+            return pa.RecordBatch.from_arrays([pa.array(ids, ID), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))], ["id", "set"])
 
         return each
 
     both = docs.select(docs["doc_id"].cast("long").alias("rep"), docs["text"]).where("rep is not null and text is not null").join(wanted.select("id", "rep").hint("merge"), "rep")
-    return map_rows(both, {"id": "id", "text": "text"}, make, "id long, set array<long>").dropDuplicates(["id"])
+    return map_rows(both, {"id": "id", "text": "text"}, make, "id decimal(38,0), set array<long>").dropDuplicates(["id"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, link: int) -> DataFrame:
@@ -131,8 +142,7 @@ def classes(docs: DataFrame, size: int = SIZE, bands: int = BANDS, rows: int = R
     spark = docs.sparkSession
     own = written(sketch(docs, size, bands, rows), "sketch")
     full = own.where("doc_id is not null and n_shingles > 0")
-    # a class: its id is the first half of the digest, the second half keeps others from it
-    groups = full.groupBy(F.col("h1").alias("id"), "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    groups = full.groupBy("id", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     keys = written(groups.select("id", "rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key")), "keys")
     crowded = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
     near = written(keys.join(crowded, "key", "left_semi"), "near")
@@ -152,7 +162,7 @@ def classes(docs: DataFrame, size: int = SIZE, bands: int = BANDS, rows: int = R
     pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
     tested = written(members.where(f"id <> leader and {alike}").select(F.col("leader").alias("a"), F.col("id").alias("b")).select(*pair).distinct(), "pairs")
     # a document with several texts links their classes
-    same = full.groupBy("doc_id").agg(F.min("h1").alias("a"), F.collect_set("h1").alias("all")).where("size(all) > 1").select("a", F.explode("all").alias("b")).where("a <> b")
+    same = full.groupBy("doc_id").agg(F.min("id").alias("a"), F.collect_set("id").alias("all")).where("size(all) > 1").select("a", F.explode("all").alias("b")).where("a <> b")
     linked = written(_verified(tested, sets, link).unionByName(same), "linked")
     found = written(components(linked), "components")
     before, share = 0, GROWTH
@@ -181,7 +191,7 @@ def classes(docs: DataFrame, size: int = SIZE, bands: int = BANDS, rows: int = R
             break
         tested = tested.unionByName(pairs)
         before, share = share, share * GROWTH
-    node = full.select("doc_id", "n_shingles", F.col("h1").alias("id")).join(found, F.col("id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "id").alias("c"))
+    node = full.select("doc_id", "n_shingles", "id").join(found, F.col("id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "id").alias("c"))
     least = node.groupBy("c").agg(F.min("doc_id").alias("component_id"))
     out = node.join(least, "c").select("doc_id", "n_shingles", "component_id")
     rest = own.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
