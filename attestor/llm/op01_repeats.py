@@ -5,8 +5,9 @@ Every byte that a LENGTH-byte string covers which also starts earlier is removed
 1. Routing. Each window of LENGTH bytes has a minimizer: the least hash of its K-byte substrings. Equal windows have
    equal minimizers wherever they stand, so consecutive windows of one minimizer form a segment, and the segments of a
    minimizer hold all occurrences of their windows. Only (minimizer, digest, place) is shuffled, about one row for every
-   forty bytes. A segment whose bytes occurred earlier is a repeat as a whole; equal segments are pre-aggregated in each
-   slice before the shuffle, so copies do not pile up.
+   forty bytes. The digest is xxh3 of 128 bits over the segment's bytes; a segment whose digest occurred earlier is a
+   repeat as a whole. Equal segments are pre-aggregated in each slice before the shuffle, so copies do not pile up; what
+   that decides goes along in the same rows (`local`), so that both come from one evaluation of one slice.
 2. Index. Minimizers with several different segments (or one that may repeat within) get their bytes from documents.
    Pieces of about INDEX_BYTES are indexed: suffix order by prefix doubling, the Burrows-Wheeler transform, its runs,
    and the suffix array at run starts and ends only. From these samples matching statistics are streamed in text order:
@@ -23,10 +24,9 @@ empty table gives an empty result. Matches never cross documents.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,9 +56,16 @@ def _sliding(x: np.ndarray, width: int, best) -> np.ndarray:
     return best(x[: len(x) - (width - span)], x[width - span :]) if span < width else x
 
 
+def digests(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The halves of the 128-bit xxh3 of data[begin:end], for each pair."""
+    view, take = memoryview(np.ascontiguousarray(data)), xxhash.xxh3_128_digest
+    found = np.frombuffer(b"".join([take(view[a:b]) for a, b in zip(begin.tolist(), end.tolist(), strict=True)]), ">u8").reshape(-1, 2)
+    return found[:, 0].astype(np.uint64), found[:, 1].astype(np.uint64)
+
+
 def segments(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(row, start in the row, windows, minimizer, digest, may repeat within) of each segment of each row."""
-    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, bool),)
+    """(row, start in the row, windows, minimizer, digest in two halves, may repeat within) of each segment of each row."""
+    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 3 + (np.zeros(0, bool),)
     if len(data) < LENGTH:
         return none
     sums, inverse = prefix_hash(data)
@@ -82,7 +89,7 @@ def segments(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
         part = np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         begin, end = begin[which] + part * MOST, np.minimum(end[which], begin[which] + (part + 1) * MOST)
     minimizer = least[begin]
-    digest = mix64((sums[end + LENGTH - 1] - sums[begin]) * inverse[begin] + (end - begin).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+    digest = digests(data, begin, end + LENGTH - 1)
     # a window can repeat within a segment only if the minimizer occurs there twice
     padded = np.concatenate([np.zeros(W - 1, np.uint64), least, np.zeros(W - 1, np.uint64)])
     places = np.flatnonzero(_sliding(padded, W, np.maximum) == h)
@@ -94,23 +101,23 @@ def segments(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
         at = low + t
         times += (at < high) & (values[np.minimum(at, len(values) - 1)] == minimizer)
     own = row[begin]
-    return own, begin - bounds[own], end - begin, minimizer, digest, twice | (times > 1)
+    return own, begin - bounds[own], end - begin, minimizer, *digest, twice | (times > 1)
 
 
 def _in_slice(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    """doc_id, start, windows, minimizer, digest, within, and whether an equal segment stands earlier in the slice."""
-    row, start, windows, minimizer, digest, within = segments(*_buffer(batch))
+    """doc_id, start, windows, minimizer, digest halves, within, and whether an equal segment stands earlier in the slice."""
+    row, start, windows, minimizer, high, low, within = segments(*_buffer(batch))
     doc = np.asarray(batch["doc_id"].cast(pa.int64()))[row] if len(row) else np.zeros(0, np.int64)
-    order = np.lexsort((start, doc, digest, minimizer))
-    doc, start, windows, minimizer, digest, within = (x[order] for x in (doc, start, windows, minimizer, digest, within))
+    order = np.lexsort((start, doc, low, high, minimizer))
+    doc, start, windows, minimizer, high, low, within = (x[order] for x in (doc, start, windows, minimizer, high, low, within))
     same = np.zeros(len(doc), bool)
-    same[1:] = (minimizer[1:] == minimizer[:-1]) & (digest[1:] == digest[:-1])
+    same[1:] = (minimizer[1:] == minimizer[:-1]) & (high[1:] == high[:-1]) & (low[1:] == low[:-1])
     place = np.ones(len(doc), bool)
     place[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1])
     fresh = ~same | place  # the same place again (a repeated row) is dropped
     later = same & place
     # after a repeated row of the first place, a later one is still later; a repeat of the first place is not
-    return tuple(x[fresh] for x in (doc, start, windows, minimizer, digest, within, later))
+    return tuple(x[fresh] for x in (doc, start, windows, minimizer, high, low, within, later))
 
 
 def _rows(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
@@ -118,30 +125,24 @@ def _rows(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
 
 
 def _places(docs: DataFrame) -> DataFrame:
-    """The first segments of each slice, for the shuffle; `size` is windows, negative if one may repeat within."""
+    """For the shuffle, from one evaluation of each slice: its first segments (`size` is windows, negative if one may
+    repeat within), and, as local rows dealt by document, the united ranges that repeat an earlier segment of the slice."""
 
     def make():
         def each(batch):
-            doc, start, windows, minimizer, digest, within, later = _in_slice(batch)
+            doc, start, windows, minimizer, high, low, within, later = _in_slice(batch)
             keep = ~later
-            return _rows({"m": minimizer[keep], "g": digest[keep], "doc_id": doc[keep], "start": start[keep], "size": np.where(within, -windows, windows)[keep]})
-
-        return each
-
-    return map_rows(docs, {"doc_id": "doc_id", "text": "text"}, make, "m long, g long, doc_id long, start long, size long")
-
-
-def _local_marks(docs: DataFrame) -> DataFrame:
-    """doc_id, a, b: ranges that repeat an earlier equal segment of their slice."""
-
-    def make():
-        def each(batch):
-            doc, start, windows, _, _, _, later = _in_slice(batch)
-            return _united(doc[later], start[later], start[later] + windows[later] + LENGTH - 1)
+            own, a, b = (np.asarray(c) for c in _united(doc[later], start[later], start[later] + windows[later] + LENGTH - 1).columns)
+            none = np.zeros(len(own), np.uint64)
+            columns = {
+                "m": (minimizer[keep], mix64(own.astype(np.uint64))), "g": (high[keep], none), "h": (low[keep], none), "doc_id": (doc[keep], own), "start": (start[keep], a),
+                "size": (np.where(within, -windows, windows)[keep], b - a - (LENGTH - 1)), "local": (np.zeros(int(keep.sum()), bool), np.ones(len(own), bool)),
+            }
+            return _rows({k: np.concatenate(v) for k, v in columns.items()})
 
         return each
 
-    return map_rows(docs, {"doc_id": "doc_id", "text": "text"}, make, "doc_id long, a long, b long")
+    return map_rows(docs, {"doc_id": "doc_id", "text": "text"}, make, "m long, g long, h long, doc_id long, start long, size long, local boolean")
 
 
 def _united(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -158,42 +159,43 @@ def _united(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 
 def _judge(batches):
-    """Over rows sorted by (m, g, doc_id, start): whole == True marks a segment whose bytes occurred earlier, whole ==
-    False the first of its bytes where the minimizer has other segments too, or may repeat within."""
+    """Over rows sorted by (m, g, h, doc_id, start): whole == True marks a segment whose bytes occurred earlier, whole ==
+    False the first of its bytes where the minimizer has other segments too, or may repeat within. Local rows are whole."""
+    names = ("m", "g", "h", "doc_id", "start", "size")
     held = None  # the only segment of its minimizer so far
-    last = None  # (m, g, doc_id, start) of the last row
+    last = None  # (m, g, h, doc_id, start) of the last row
     for batch in batches:
-        m, g, doc, start, size = (np.asarray(batch[c]) for c in ("m", "g", "doc_id", "start", "size"))
-        if not len(m):
-            continue
-        new_m, new_g, again = np.ones(len(m), bool), np.ones(len(m), bool), np.zeros(len(m), bool)
-        new_m[1:] = m[1:] != m[:-1]
-        new_g[1:] = new_m[1:] | (g[1:] != g[:-1])
-        again[1:] = ~new_g[1:] & (doc[1:] == doc[:-1]) & (start[1:] == start[:-1])
-        if last is not None:
-            new_m[0] = m[0] != last[0]
-            new_g[0] = new_m[0] or g[0] != last[1]
-            again[0] = not new_g[0] and (doc[0], start[0]) == last[2:]
-        whole = ~new_g & ~again
-        first = np.flatnonzero(new_g)
-        # a first segment is wanted if its minimizer has another first segment before or after it
-        wanted = ~new_m[first]
-        wanted[:-1] |= ~new_m[first[1:]]
-        out = [(x[whole] for x in (m, doc, start, np.abs(size))), (x[first[wanted]] for x in (m, doc, start, np.abs(size)))]
-        flags = [True, False]
-        alone = first[~wanted & (size[first] < 0)]
-        out.append(x[alone] for x in (m, doc, start, np.abs(size)))
-        flags.append(False)
-        if held is not None and len(first) and not new_m[first[0]]:
-            out.append(np.asarray([x]) for x in held)
-            flags.append(False)
-        if len(first):
-            i = first[-1]
-            # the last first segment may get company in the next batch, unless it has gone out already
-            held = (m[i], doc[i], start[i], abs(size[i])) if not wanted[-1] and size[i] > 0 else None
-        last = (m[-1], g[-1], doc[-1], start[-1])
-        parts = [tuple(x) for x in out]
-        yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate([p[k] for p in parts])) for k in range(4)), pa.array(np.repeat(flags, [len(p[0]) for p in parts]))], ["m", "doc_id", "start", "size", "whole"])
+        local = np.asarray(batch["local"])
+        every = [np.asarray(batch[c]) for c in names]
+        out, flags = [tuple(every[k][local] for k in (0, 3, 4, 5))], [True]
+        m, g, h, doc, start, size = (x[~local] for x in every)
+        if len(m):
+            new_m, new_g, again = np.ones(len(m), bool), np.ones(len(m), bool), np.zeros(len(m), bool)
+            new_m[1:] = m[1:] != m[:-1]
+            new_g[1:] = new_m[1:] | (g[1:] != g[:-1]) | (h[1:] != h[:-1])
+            again[1:] = ~new_g[1:] & (doc[1:] == doc[:-1]) & (start[1:] == start[:-1])
+            if last is not None:
+                new_m[0] = m[0] != last[0]
+                new_g[0] = new_m[0] or (g[0], h[0]) != last[1:3]
+                again[0] = not new_g[0] and (doc[0], start[0]) == last[3:]
+            whole = ~new_g & ~again
+            first = np.flatnonzero(new_g)
+            # a first segment is wanted if its minimizer has another first segment before or after it
+            wanted = ~new_m[first]
+            wanted[:-1] |= ~new_m[first[1:]]
+            alone = first[~wanted & (size[first] < 0)]
+            rows = (m, doc, start, np.abs(size))
+            out += [tuple(x[whole] for x in rows), tuple(x[first[wanted]] for x in rows), tuple(x[alone] for x in rows)]
+            flags += [True, False, False]
+            if held is not None and len(first) and not new_m[first[0]]:
+                out.append(tuple(np.asarray([x]) for x in held))
+                flags.append(False)
+            if len(first):
+                i = first[-1]
+                # the last first segment may get company in the next batch, unless it has gone out already
+                held = (m[i], doc[i], start[i], abs(size[i])) if not wanted[-1] and size[i] > 0 else None
+            last = (m[-1], g[-1], h[-1], doc[-1], start[-1])
+        yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate([p[k] for p in out])) for k in range(4)), pa.array(np.repeat(flags, [len(p[0]) for p in out]))], ["m", "doc_id", "start", "size", "whole"])
 
 
 # --- the index ---------------------------------------------------------------
@@ -358,28 +360,28 @@ def _hot_marks(bodies: DataFrame) -> DataFrame:
             lengths = np.fromiter(map(len, bodies_), np.int64, len(bodies_))
             if not len(data):
                 continue
-            sums, inverse = prefix_hash(data)
             piece = np.repeat(np.arange(len(lengths)), lengths)
             within = np.arange(len(data)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             at = np.flatnonzero(within + LENGTH <= lengths[piece])
-            yield _rows({"h": mix64((sums[at + LENGTH] - sums[at]) * inverse[at]), "m": np.asarray(batch["m"])[piece[at]], "doc_id": np.asarray(batch["doc_id"])[piece[at]], "start": np.asarray(batch["start"])[piece[at]] + within[at]})
+            high, low = digests(data, at, at + LENGTH)
+            yield _rows({"g": high, "h": low, "m": np.asarray(batch["m"])[piece[at]], "doc_id": np.asarray(batch["doc_id"])[piece[at]], "start": np.asarray(batch["start"])[piece[at]] + within[at]})
 
-    windows = bodies.select("m", "doc_id", "start", "body").mapInArrow(run, "h long, m long, doc_id long, start long")
-    first = windows.groupBy("h", "m").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    return windows.join(first, ["h", "m"]).where(F.struct("doc_id", "start") != F.col("first")).select("doc_id", F.col("start").alias("a"), (F.col("start") + LENGTH).alias("b"))
+    windows = bodies.select("m", "doc_id", "start", "body").mapInArrow(run, "g long, h long, m long, doc_id long, start long")
+    first = windows.groupBy("g", "h", "m").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    return windows.join(first, ["g", "h", "m"]).where(F.struct("doc_id", "start") != F.col("first")).select("doc_id", F.col("start").alias("a"), (F.col("start") + LENGTH).alias("b"))
 
 
 def marks(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, a, b: byte ranges to remove; they may overlap."""
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).where("doc_id is not null and text is not null")
-    dealt = _places(docs).repartition(F.col("m")).sortWithinPartitions("m", "g", "doc_id", "start")
+    dealt = _places(docs).repartition(F.col("m")).sortWithinPartitions("m", "g", "h", "doc_id", "start")
     judged = written(dealt.mapInArrow(_judge, "m long, doc_id long, start long, size long, whole boolean"), "judged")
     firsts = judged.where("not whole")
     frequent = firsts.groupBy("m").agg(F.count("*").alias("n")).where(f"n > {hot}").select("m", F.lit(True).alias("hot"))
     bodies = written(_bodies(docs, firsts.join(frequent, "m", "left").select("m", "doc_id", "start", "size", F.coalesce("hot", F.lit(False)).alias("hot"))), "bodies")
     indexed = _index_marks(bodies.where("not hot").select("m", "doc_id", "start", "body").repartition(F.col("m")).sortWithinPartitions("m", "doc_id", "start"))
     whole = judged.where("whole").select("doc_id", F.col("start").alias("a"), (F.col("start") + F.col("size") + (LENGTH - 1)).alias("b"))
-    out = whole.unionByName(_local_marks(docs)).unionByName(indexed)
+    out = whole.unionByName(indexed)
     if not frequent.isEmpty():
         out = out.unionByName(_hot_marks(bodies.where("hot")))
     return out
