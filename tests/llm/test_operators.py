@@ -346,9 +346,9 @@ def test_token_files(spark, corpus):
     library = Tokenizer.from_file(path)
     rows = corpus[::-1] + [(1000, None), (1001, "x  y z\tÉÉ it's <|endoftext|> I'm é ﬁ Σ\n\n"), (1002, "")]
     folder = fresh_path(spark, "tokens")
-    encoded = op08_tokens.encode(frame(spark, rows), path, file_text=5000)
+    encoded = op08_tokens.encode(frame(spark, rows), path)
     ranks = op08_tokens.ranking(encoded)
-    manifest = op08_tokens.write_files(encoded, ranks, folder)
+    manifest = op08_tokens.write_files(encoded, ranks, folder, file_text=5000)
     got = {r["doc_id"]: tuple(r)[1:] for r in op08_tokens.read_files(manifest, ranks, folder).collect()}
     at, expected = 0, {}
     for d, t in sorted(rows):
