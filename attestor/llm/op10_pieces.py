@@ -1,10 +1,14 @@
 """SentencePiece encoding and decoding for merge-type (BPE) vocabularies.
 
-Encoding works on a score-ordered agenda: a heap holds the adjacent symbol pairs that form a piece; the best score (the
-leftmost among equals) is merged first. No piece of such a vocabulary reaches over a word mark or a line end, which is
-verified when the model is read, so a text is cut there and each distinct segment is encoded once per worker. Every
-segment that an Arrow batch brings for the first time is compared with the sentencepiece library's own result. The ids of
-each whole document are decoded again, and what comes out is hashed.
+Encoding works on a score-ordered agenda of the adjacent symbol pairs that form a piece; the best score (the leftmost
+among equals) is merged first. No piece of such a vocabulary reaches over a word mark or a line end, which is verified
+when the model is read, so a text is cut there and each distinct segment is encoded once per worker. The agendas of all
+new segments of a batch stand in a matrix, a row each: a round takes the best entry of every row, merges, and enters the
+two new pairs. Segments of over MATRIX symbols, or with characters that are no piece, have a heap each instead.
+
+Every segment that an Arrow batch brings for the first time is compared with the sentencepiece library's own result. The
+ids of each whole document are decoded again, by the library and by decode(), which must agree, and what comes out is
+hashed.
 
 Defined cases: a null text counts as empty and has no ids; the decoded text of no ids is empty; rows with a null doc_id
 and repeated rows give one row each; further columns are ignored; an empty table gives an empty result.
@@ -16,6 +20,7 @@ import hashlib
 import heapq
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +29,8 @@ from attestor.llm.common import kept, map_rows, table, texts
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 MARK = "▁"
 CACHE = 500_000  # segments, in two generations; about 225 bytes each
+MATRIX = 64  # symbols of a segment whose agenda is a row
+_NEVER = np.iinfo(np.int32).max
 _SEGMENT = re.compile(" +[^ \n]*|\n|[^ \n]+")
 
 
@@ -55,11 +62,103 @@ class PieceCodec:
                 self.bytes_of.append(piece.replace(MARK, " ").encode())
         if lib.encode("a  b") != lib.encode(f"a{MARK}{MARK}b") or lib.encode(""):
             raise ValueError("the vocabulary's normaliser isn't plain escaping with a leading mark")
+        self._pair_table()
         self.new: dict[str, str] = {}
         self.old: dict[str, str] = {}
 
+    def _pair_table(self) -> None:
+        """For the matrix: the symbol of each character, and of each pair of pieces that form one its rank and symbol."""
+        self.symbol = np.full(0x110000, -1, np.int32)
+        rank = {score: r for r, score in enumerate(sorted(set(self.score.values()), reverse=True))}
+        left, right, made = [], [], []
+        for piece, i in self.ids.items():
+            if len(piece) == 1:
+                self.symbol[ord(piece)] = i
+            for k in range(1, len(piece)):
+                if piece[:k] in self.ids and piece[k:] in self.ids:
+                    left.append(self.ids[piece[:k]])
+                    right.append(self.ids[piece[k:]])
+                    made.append(i)
+        self.size = 1 + max(self.ids.values())
+        pairs = np.asarray(left, np.int64) * self.size + np.asarray(right, np.int64)
+        order = np.argsort(pairs)
+        self.pairs, self.made = pairs[order], np.asarray(made, np.int32)[order]
+        ranks = np.full(self.size, _NEVER, np.int32)
+        for piece, i in self.ids.items():
+            ranks[i] = rank[self.score[piece]]
+        self.rank = ranks[self.made]
+
+    def _entries(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, symbol made) of adjacent symbols; _NEVER where they form no piece or one of them is missing (-1)."""
+        pair = np.where((a >= 0) & (b >= 0), a.astype(np.int64) * self.size + b, -1)
+        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        found = self.pairs[at] == pair
+        return np.where(found, self.rank[at], _NEVER), np.where(found, self.made[at], -1)
+
+    def encode_segments(self, segments: list[str]) -> list[list[int]]:
+        """Ids of each segment; the agendas are rows of matrices, segments of like length together."""
+        out: list[list[int]] = [[]] * len(segments)
+        joined = "".join(segments).replace(" ", MARK)
+        symbols = self.symbol[np.frombuffer(joined.encode("utf-32-le"), "<u4")]
+        lengths = np.fromiter(map(len, segments), np.int64, len(segments))
+        starts = np.cumsum(lengths) - lengths
+        whole = np.minimum.reduceat(symbols, starts) >= 0 if len(segments) else np.zeros(0, bool)
+        whole &= lengths <= MATRIX
+        for i in np.flatnonzero(~whole).tolist():
+            out[i] = self.encode_segment(segments[i])
+        order = np.flatnonzero(whole)
+        order = order[np.argsort(lengths[order], kind="stable")]
+        cuts = np.searchsorted(lengths[order], [0, 5, 9, 13, 21, 33, MATRIX + 1])
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if b > a:
+                rows = order[a:b]
+                width = int(lengths[rows].max())
+                column = np.arange(width)
+                at = starts[rows][:, None] + column
+                matrix = np.where(column < lengths[rows][:, None], symbols[np.minimum(at, len(symbols) - 1)], -1).astype(np.int32)
+                merged = self._merge(matrix)
+                sizes = (merged >= 0).sum(1)
+                flat, ends = merged[merged >= 0].tolist(), np.cumsum(sizes).tolist()
+                begin = 0
+                for i, end in zip(rows.tolist(), ends, strict=True):
+                    out[i] = flat[begin:end]
+                    begin = end
+        return out
+
+    def _merge(self, matrix: np.ndarray) -> np.ndarray:
+        """Rows of symbols (-1 after the last) when no agenda has an entry left."""
+        n, width = matrix.shape
+        if width < 2:
+            return matrix
+        rank, made = self._entries(matrix[:, :-1], matrix[:, 1:])
+        out, row = np.full_like(matrix, -1), np.arange(n)
+        while True:
+            best = rank.argmin(1)  # the first of equal ranks is the leftmost
+            going = rank[np.arange(len(row)), best] < _NEVER
+            if not going.all():
+                out[row[~going], : matrix.shape[1]] = matrix[~going]
+                matrix, rank, made, row, best = matrix[going], rank[going], made[going], row[going], best[going]
+                if not len(row):
+                    return out
+            each, width = np.arange(len(row)), matrix.shape[1]
+            # symbol `best` becomes the new one, its right neighbour goes, what follows moves up; one column less
+            after = np.arange(width - 1) > best[:, None]
+            matrix_, new = matrix, made[each, best]
+            matrix = np.where(after, matrix_[:, 1:], matrix_[:, :-1])
+            matrix[each, best] = new
+            if width == 2:
+                out[row, :1] = matrix
+                return out
+            after = after[:, : width - 2] | (np.arange(width - 2) == best[:, None])
+            rank, made = np.where(after, rank[:, 1:], rank[:, :-1]), np.where(after, made[:, 1:], made[:, :-1])
+            follow = np.where(best + 1 < width - 1, matrix[each, np.minimum(best + 1, width - 2)], -1)
+            here = best < width - 2
+            rank[each[here], best[here]], made[each[here], best[here]] = self._entries(new[here], follow[here])
+            left = best > 0
+            rank[each[left], best[left] - 1], made[each[left], best[left] - 1] = self._entries(matrix[each[left], best[left] - 1], new[left])
+
     def encode_segment(self, segment: str) -> list[int]:
-        """Ids of one segment by the agenda."""
+        """Ids of one segment by an agenda that is a heap."""
         symbols: list[str | None] = list(segment.replace(" ", MARK))
         n = len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -95,8 +194,8 @@ class PieceCodec:
         return out
 
     def checked(self, fresh: list[str]) -> None:
-        """Encode segments that aren't cached, compare them with the library, decode them again, and cache them."""
-        own = [self.encode_segment(s) for s in fresh]
+        """Encode segments that aren't cached, compare them with the library, and cache them."""
+        own = self.encode_segments(fresh)
         # the library puts a mark before each text: a segment without one follows a line end here
         theirs = self.library.encode([s[1:] if s[0] == " " else "\n" + s for s in fresh], num_threads=1)
         lead = [self.ids[MARK], self.fallback[10]]
@@ -109,8 +208,6 @@ class PieceCodec:
                 lib = mine  # the library gives no ids for an empty text; the mark is tested with longer segments
             if mine != lib:
                 raise ValueError(f"{s!r}: agenda {mine}, library {lib}")
-            if (" " if s[0] == " " else "") + self.decode(mine) != s:
-                raise ValueError(f"{s!r} isn't what {mine} decode to")
             self.new[s] = ",".join(map(str, mine))
 
     def encode_batch(self, batch: list[str]) -> list[str]:
@@ -132,10 +229,14 @@ class PieceCodec:
 
     def digests(self, batch: list[str]) -> list[tuple[int, str, str]]:
         """Number of ids, digest of the ids and digest of the text that they decode to, of each text."""
+        found = self.encode_batch(batch)
+        ids = [list(map(int, joined.split(","))) if joined else [] for joined in found]
+        theirs = self.library.decode(ids, num_threads=1)
         out = []
-        for joined in self.encode_batch(batch):
-            ids = list(map(int, joined.split(","))) if joined else []
-            out.append((len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(self.decode(ids).encode()).hexdigest()))
+        for joined, own, text in zip(found, ids, theirs, strict=True):
+            if self.decode(own) != text:
+                raise ValueError(f"ids {own[:20]} ... are decoded otherwise than by the library")
+            out.append((len(own), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
         return out
 
     def decode(self, ids: list[int]) -> str:
