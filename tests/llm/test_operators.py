@@ -387,19 +387,21 @@ def test_containment(spark):
             t = t + " " + " ".join(w).upper() + " " + word()
         docs.append((i, t))
 
-    def shingles(t):
+    def windows(t, n):
         w = (t or "").encode().lower().split()
-        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+        return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if n else set()
 
     expected = set()
     for i, t in items:
-        q = shingles(t)
+        n = min(5, len((t or "").split()))
+        q = windows(t, n)
         for d, x in docs:
-            c = len(q & shingles(x))
+            c = len(q & windows(x, n))
             if q and 100 * c >= 80 * len(q):
                 expected.add((d, i, len(q), c))
     table = spark.createDataFrame(items, "item_id long, text string")
     assert {tuple(r) for r in op09_contain.search(frame(spark, docs), table).collect()} == expected and len(expected) > 20
+    assert {q for _, _, q, _ in expected} > {1} and any(len((dict(items)[i] or "").split()) < 5 for _, i, _, _ in expected)
     kept = op09_contain.drop_contaminated(frame(spark, docs), table)
     assert {r["doc_id"] for r in kept.collect()} == {d for d, _ in docs} - {e[0] for e in expected}
     assert op09_contain.search(frame(spark, ODD), table).count() == 0 and op09_contain.search(frame(spark, []), table).count() == 0
