@@ -1,15 +1,17 @@
 """Personal data by weak supervision: labelers vote on candidate spans, expectation-maximisation weighs them.
 
 Base spans are the matches of four fixed patterns and their checks; they are always reported. Candidate spans are
-looser: digit groups, dotted groups, plus-numbers, spelled-out addresses. Five labelers vote for, against or not at all
-on each candidate: the strict pattern with its check, a gazetteer (number prefixes, address endings), words before the
-span, words that speak against it, and the grouping of its digits.
+looser: digit groups, dotted groups, plus-numbers, spelled-out addresses, and runs of letters and digits that may be a
+key, token or password (kind `secret`, which has no base pattern). Five labelers vote for, against or not at all on each
+candidate: the strict pattern with its check, a gazetteer (number prefixes, address endings, key prefixes), words before
+the span, words that speak against it, and its shape (grouping of digits, mixture of letters and digits).
 
 Votes and a few coarse features of a candidate form a pattern; there are at most some thousand patterns, whatever the
 corpus. The counts of the patterns over all candidates of all documents are the only training data:
-expectation-maximisation estimates each labeler's accuracy per kind and the probability of each pattern, and a logistic
-classifier over votes and features is fitted to these probabilities. Candidates it gives at least CERTAIN are added,
-unless they overlap a base span. Everything that is read covers whole texts.
+expectation-maximisation starts from the majority of the votes, estimates each labeler's reliability per kind and the
+probability of each pattern, and a logistic classifier over votes and features is fitted to these probabilities. No
+labeler is taken to be right: the strict pattern is one vote. Candidates given at least CERTAIN are added, unless they
+overlap a base span. Everything that is read covers whole texts, in time proportional to their length.
 
 Defined cases: a null text counts as empty; rows with a null doc_id and repeated rows give one row each; further columns
 are ignored; an empty table gives an empty result; without candidates the classifier adds nothing.
@@ -27,9 +29,10 @@ from pyspark.sql import functions as F
 
 from attestor.llm.common import map_rows, table, texts
 
-KINDS = ("email", "ip", "card", "phone")
+BASE = ("email", "ip", "card", "phone")
+KINDS = (*BASE, "secret")
 LABELERS = 5
-CERTAIN, CONTEXT, STEPS = 0.95, 24, 60
+CERTAIN, CONTEXT, STEPS = 0.9, 24, 60
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 
 # The base patterns.
@@ -46,15 +49,23 @@ FOR = {
     "email": "mail e-mail email correo courriel contact kontakt write",
     "ip": "ip ipv4 host server address adresse serveur dirección logged login",
     "card": "card visa mastercard amex credit karte kreditkarte carte tarjeta payment",
+    "secret": "token secret password passwd pwd key apikey api_key api-key access_key auth bearer credential passwort contraseña clave",
     "phone": "phone tel telephone mobile cell call fax telefon telefono téléfono teléfono appel llame whatsapp",
 }
-AGAINST = "version v release chapter section isbn issn doi figure table page total sum price order invoice id no nr art"
+AGAINST = "version v release chapter section isbn issn doi figure table page total sum price order invoice id no nr art sha sha1 sha256 md5 commit hash checksum digest build"
+KEY_PREFIXES = ("sk-", "pk-", "ghp_", "gho_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "AKIA", "ASIA", "AIza", "ya29.", "eyJ")
+KEY_LENGTHS = (20, 32, 36, 40, 44, 48, 56, 64)
 _FOR = {k: re.compile(r"\b(?:" + "|".join(map(re.escape, w.split())) + r")\W*$", re.I) for k, w in FOR.items()}
 _AGAINST = re.compile(r"\b(?:" + "|".join(AGAINST.split()) + r")\W*$", re.I)
 
 _NUMBERS = re.compile(r"\+?\(?[0-9][0-9().\x20/-]{5,30}[0-9]")
 _SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[(]dot[\])]) ?[A-Za-z0-9-]{1,63}){1,4}")
 _DIGIT = re.compile(r"[0-9]")
+_KEY = re.compile(r"[A-Za-z0-9_+/=-]{12,}")  # possessive by nature: what follows is never of the class
+_HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
+_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 
 
 def luhn(digits: str) -> bool:
@@ -65,15 +76,39 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _emails(text: str):
+    """The matches of EMAIL, found from each @ outwards: linear, where the pattern rescans a long run from each place."""
+    free, at = 0, text.find("@")
+    while at >= 0:
+        run = text[free:at]
+        start = free + len(run.rstrip(_LOCAL))
+        m = _DOMAIN.match(text, at + 1) if start < at else None
+        free = m.end() if m else at + 1
+        if m:
+            yield start, free
+        at = text.find("@", free)
+
+
+def _addresses(text: str):
+    """The matches of IP: each four groups of a chain of dotted groups, in turn."""
+    for m in _CHAIN.finditer(text):
+        if m[0].count(".") >= 3:
+            groups, at = m[0].split("."), m.start()
+            for k in range(0, len(groups) - 3, 4):
+                four = groups[k : k + 4]
+                end = at + sum(map(len, four)) + 3
+                if all(len(g.lstrip("0")) <= 3 and int(g) <= 255 for g in four):
+                    yield at, end
+                at = end + 1
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Base spans by kind, then start: leftmost non-overlapping matches of each pattern that pass its check."""
-    out = []
-    if "@" in text:
-        out += [("email", m.start(), m.end()) for m in EMAIL.finditer(text)]
+    out = [("email", a, b) for a, b in _emails(text)]
     if not _DIGIT.search(text):
         return out
     if "." in text:
-        out += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        out += [("ip", a, b) for a, b in _addresses(text)]
     for m in CARD.finditer(text):
         if 16 <= m.end() - m.start():
             digits = m[0].replace(" ", "").replace("-", "")
@@ -96,22 +131,27 @@ def _kind(span: str, digits: str) -> str | None:
 
 
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int, tuple[int, ...]]]:
-    """(kind, start, end, pattern) of the base spans and of the looser candidates that overlap none of them."""
+    """(kind, start, end, pattern) of the base spans and of the looser candidates that overlap none of them, nor each
+    other: the leftmost stays, of the same place the longest."""
     found = [(k, a, b, True) for k, a, b in base]
-    taken = sorted((a, b) for _, a, b in base)
     loose = [("email", m.start(), m.end()) for m in _SPELLED.finditer(text)] if "at" in text and ("[" in text or "(" in text) else []
     if _DIGIT.search(text):
         for m in _NUMBERS.finditer(text):
             a, b = m.span()
-            digits = "".join(_DIGIT.findall(m[0]))
-            if kind := _kind(m[0], digits):
+            if kind := _kind(m[0], "".join(_DIGIT.findall(m[0]))):
                 loose.append((kind, a, b))
+        for m in _KEY.finditer(text):
+            if _DIGIT.search(m[0]) and not m[0].replace("-", "").replace("/", "").isdigit() and m[0].upper() != m[0].lower():
+                loose.append(("secret", m.start(), m.end()))
     if loose:
-        starts = [a for a, _ in taken]
-        for k, a, b in loose:
-            i = int(np.searchsorted(starts, b)) if starts else 0
-            if not (i and taken[i - 1][1] > a):
+        taken = sorted((a, b) for _, a, b in base)
+        i, free = 0, 0
+        for k, a, b in sorted(loose, key=lambda c: (c[1], -c[2])):
+            while i < len(taken) and taken[i][1] <= a:
+                i += 1
+            if a >= free and not (i < len(taken) and taken[i][0] < b):
                 found.append((k, a, b, False))
+                free = b
     return [(k, a, b, _pattern(text, k, a, b, strict)) for k, a, b, strict in found]
 
 
@@ -120,22 +160,31 @@ def _pattern(text: str, kind: str, a: int, b: int, strict: bool) -> tuple[int, .
     span, before = text[a:b], text[max(0, a - CONTEXT) : a]
     digits = "".join(_DIGIT.findall(span))
     groups = [g for g in re.split(r"[^0-9]+", span) if g]
+    proof = 1 if strict else 2
     if kind == "email":
         known = 1 if span.rsplit(".", 1)[-1].strip(" )]").lower() in ENDINGS else 2
         shape = 1 if re.match(r"[A-Za-z0-9]", span) else 2
+        proof = 1 if strict else 0  # the strict pattern knows no spelled-out marks
     elif kind == "ip":
-        known = 2 if groups[0] in ("0", "00", "000") or max(map(int, groups)) > 255 else 1
+        known = 2 if groups[0] in ("0", "00", "000") or any(len(g.lstrip("0")) > 3 or int(g) > 255 for g in groups) else 1
         shape = 1 if len(groups) == 4 and not any(len(g) > 1 and g[0] == "0" for g in groups) else 2
     elif kind == "card":
         known = 1 if digits.startswith(CARD_PREFIXES) else 2
         shape = 1 if luhn(digits) and (len(groups) == 1 or [len(g) for g in groups] in ([4, 4, 4, 4], [4, 6, 5])) else 2
-    else:
+    elif kind == "phone":
         known = 0 if span[0] != "+" else 1 if digits.startswith(CALLING_CODES) else 2
         shape = 2 if len(groups) > 6 or len(digits) < 8 or len(groups) == 1 and span[0] != "+" else 1
+        proof = 1 if strict else 2 if span[0] == "+" else 0  # without a plus the strict pattern says nothing
+    else:
+        whole = _HEX.fullmatch(span) is not None
+        proof = 1 if whole and len(span) in KEY_LENGTHS else 0
+        known = 1 if span.startswith(KEY_PREFIXES) else 0
+        switches = sum(x.isdigit() != y.isdigit() for x, y in zip(span, span[1:], strict=False))
+        shape = 1 if len(set(span)) >= 8 and 4 * switches >= len(span) else 2
     context = 1 if _FOR[kind].search(before) else 0
     against = 2 if _AGAINST.search(before) or before[-1:] in ("$", "€", "£", "#") or text[b : b + 1] in ("%", "€") else 0
     glued = before[-1:].isalnum() or text[b : b + 1].isalnum()
-    return KINDS.index(kind), 1 if strict else 2, known, context, against, shape, min(3, len(digits) // 5), min(2, len(groups) // 2), int(glued)
+    return KINDS.index(kind), proof, known, context, against, shape, min(3, len(digits) // 5), min(2, len(groups) // 2), int(glued)
 
 
 def vote_counts(docs: DataFrame) -> DataFrame:
@@ -155,6 +204,15 @@ def vote_counts(docs: DataFrame) -> DataFrame:
     return map_rows(docs, {"text": "text"}, make, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
 
 
+#: Votes (none, for, against) that each labeler is credited with, by truth: no, yes.
+PRIOR = np.array([[2.0, 0.5, 2.0], [2.0, 2.0, 0.5]])
+
+
+def majority(votes: np.ndarray) -> np.ndarray:
+    """Where expectation-maximisation starts: a logistic of the votes for less those against."""
+    return 1 / (1 + np.exp(-1.5 * ((votes == 1).sum(1) - (votes == 2).sum(1) - 0.5)))
+
+
 class SpanModel:
     """Reliabilities of the labelers by expectation-maximisation, and the logistic classifier fitted to the outcome."""
 
@@ -165,7 +223,7 @@ class SpanModel:
         counts = sorted(counts)
         patterns, n = np.asarray([p for p, _ in counts]), np.asarray([c for _, c in counts], float)
         votes, kind = patterns[:, 1 : 1 + LABELERS], patterns[:, 0]
-        truth = np.where(votes[:, 0] == 1, 0.95, 0.2)  # start: the strict pattern is mostly right
+        truth = majority(votes)
         self.accuracy = np.zeros((len(KINDS), LABELERS, 2, 3))
         for _ in range(STEPS):
             new = np.zeros(len(n))
@@ -177,15 +235,17 @@ class SpanModel:
                 prior = (weight.sum(1) + 1) / (weight.sum() + 2)
                 score = np.tile(np.log(prior)[:, None], here.sum())
                 for j in range(LABELERS):
-                    table_ = np.stack([[weight[y][votes[here, j] == v].sum() for v in range(3)] for y in (0, 1)]) + 0.5
+                    # PRIOR votes of a labeler that is right more often than wrong, so that truth keeps its name
+                    table_ = np.stack([[weight[y][votes[here, j] == v].sum() for v in range(3)] for y in (0, 1)]) + PRIOR
                     table_ /= table_.sum(1, keepdims=True)
                     self.accuracy[k, j] = table_
                     score += np.log(table_[:, votes[here, j]])
                 new[here] = 1 / (1 + np.exp(np.clip(score[0] - score[1], -50, 50)))
-            new[votes[:, 0] == 1] = np.maximum(new[votes[:, 0] == 1], 0.9)  # the strict pattern carries its own proof
-            if np.abs(new - truth).max() < 1e-6:
-                break
+            moved = np.abs(new - truth).max()
             truth = new
+            if moved < 1e-6:
+                break
+        self.truth = dict(zip(map(tuple, patterns.tolist()), truth.tolist(), strict=True))
         x = np.stack([self.features(tuple(p)) for p in patterns])
         w, scale = np.zeros(x.shape[1]), n / n.sum()
         for _ in range(400):
@@ -240,7 +300,7 @@ def find(docs: DataFrame, model: SpanModel, certain: float = CERTAIN) -> DataFra
                         if known[pattern]:
                             spans.append((k, a, b))
                 spans.sort(key=lambda s: (KINDS.index(s[0]), s[1]))
-                number = [sum(s[0] == k for s in base) for k in KINDS]
+                number = [sum(s[0] == k for s in base) for k in BASE]
                 rows.append((*number, hashlib.sha256(_shown(base).encode()).hexdigest(), _shown(spans)))
             kinds = [pa.int64()] * 4 + [pa.string()] * 2
             return pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], [f.split()[0] for f in SCHEMA.split(", ")])
