@@ -1,9 +1,13 @@
 """Quality rules by line labelling: a linear-chain conditional random field, decoded by Viterbi.
 
 Each line of a document is labelled content or boilerplate. The field is trained here on a bounded sample of the
-labelled documents (SAMPLE_DOCS documents of at most SAMPLE_LINES lines, the smallest by a hash of doc_id): the lines
-of documents labelled good are taken for content, those of documents labelled bad for boilerplate. It is then applied
-to every line of every whole text. The share of words on content lines decides retention.
+labelled documents (SAMPLE_DOCS documents of at most SAMPLE_LINES lines, the smallest by a hash of doc_id). Labels are of
+documents, so those of their lines are learned along (multiple instances): at first each line has its document's label;
+then, ROUNDS times, a line of a bad document becomes content if by its features alone it looks like content, but for the
+line that looks least like it, and a line of a good document becomes boilerplate if it clearly looks like that, for at
+most half of its words; and the field is fitted again. So transitions are learned from labels that change within
+documents. The field is then applied to every line of every whole text. The share of words on content lines decides
+retention; the least share is the one that parts the sample's good and bad documents best (CONTENT_SHARE if none does).
 
 Defined cases: a null or blank text has no words, fails the base rules and isn't kept; rows with a null doc_id and
 repeated rows are judged like any other, each giving one row; further columns are ignored; an empty table gives an
@@ -19,10 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm.common import map_rows, texts
+from attestor.llm.common import map_rows, slices, texts
 
-SAMPLE_DOCS, SAMPLE_LINES, STEPS = 1500, 60, 120
-MIN_WORDS, CONTENT_SHARE = 50, 0.5
+SAMPLE_DOCS, SAMPLE_LINES, STEPS, ROUNDS = 1500, 60, 60, 2
+MIN_WORDS, CONTENT_SHARE, CLEAR = 50, 0.5, 1.0
+SHARES = tuple(k / 20 for k in range(6, 20))
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_lines long, content_words long"
 
 _SYMBOL = re.compile(r"[#*$%&|<>]")
@@ -84,16 +89,17 @@ def line_features(text: str) -> tuple[list[list[int]], list[int]]:
 class LineField:
     """A linear-chain conditional random field over two labels: 0 boilerplate, 1 content."""
 
-    def __init__(self, emit: np.ndarray, step: np.ndarray):
-        self.emit, self.step = emit, step  # [features, 2], [2, 2]
+    def __init__(self, emit: np.ndarray, step: np.ndarray, share: float = CONTENT_SHARE):
+        self.emit, self.step, self.share = emit, step, share  # [features, 2], [2, 2], least share of words on content lines
 
     @classmethod
     def zero(cls) -> LineField:
         return cls(np.zeros((N_FEATURES, 2)), np.zeros((2, 2)))
 
     @classmethod
-    def fit(cls, documents: list[list[list[int]]], labels: list[int], steps: int = STEPS, rate: float = 0.1, l2: float = 1e-3) -> LineField:
-        """Maximum likelihood by Adam; forward-backward over all sequences at once, padded to the longest."""
+    def fit(cls, documents: list[list[list[int]]], labels: list[int], of_lines: list[list[int]] | None = None, steps: int = STEPS, rate: float = 0.1, l2: float = 1e-3) -> LineField:
+        """Maximum likelihood by Adam; forward-backward over all sequences at once, padded to the longest. of_lines: labels
+        of the lines, those of their documents if none are given."""
         n, longest = len(documents), max(map(len, documents))
         feats = np.zeros((n, longest, N_ACTIVE), np.int64)
         here = np.zeros((n, longest), bool)
@@ -101,6 +107,10 @@ class LineField:
             feats[i, : len(lines)] = lines
             here[i, : len(lines)] = True
         gold = np.asarray(labels)
+        target = np.zeros((n, longest, 2))
+        for i, y in enumerate(labels):
+            own = of_lines[i] if of_lines is not None else [y] * len(documents[i])
+            target[i, np.arange(len(own)), own] = 1.0
         params = [np.zeros((N_FEATURES, 2)), np.zeros((2, 2))]
         m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
         # balance the two kinds of documents, as most labelled ones are good
@@ -119,18 +129,15 @@ class LineField:
             total = np.logaddexp.reduce(forward[:, -1], axis=1)
             node = np.exp(forward + backward - total[:, None, None]) * here[:, :, None]
             grad_emit, grad_step = np.zeros_like(emit), np.zeros_like(step)
-            target = np.zeros_like(node)
-            target[np.arange(n)[:, None], np.arange(longest)[None], gold[:, None]] = 1.0
-            slack = (target * here[:, :, None] - node) * weight[:, None, None] / here.sum(1)[:, None, None]
+            slack = (target - node) * weight[:, None, None] / here.sum(1)[:, None, None]
             for j in range(N_ACTIVE):
                 for y in (0, 1):
                     grad_emit[:, y] += np.bincount(feats[:, :, j].ravel(), slack[:, :, y].ravel(), N_FEATURES)
             if longest > 1:
                 pair = np.exp(forward[:, :-1, :, None] + step[None, None] + (score + backward)[:, 1:, None, :] - total[:, None, None, None])
                 pair *= (here[:, 1:] * (weight / here.sum(1))[:, None])[:, :, None, None]
-                grad_step -= pair.sum((0, 1))
-                for y in (0, 1):
-                    grad_step[y, y] += (here[:, 1:] * (weight / here.sum(1) * (gold == y))[:, None]).sum()
+                seen = target[:, :-1, :, None] * target[:, 1:, None, :] * (weight / here.sum(1))[:, None, None, None]
+                grad_step += (seen - pair).sum((0, 1))
             for p, g, a, b in zip(params, (grad_emit, grad_step), m, v, strict=True):
                 g = g - l2 * p
                 a *= 0.9
@@ -140,6 +147,34 @@ class LineField:
                 p += rate * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.999**t)) + 1e-8)
         return cls(*params)
 
+    @classmethod
+    def learn(cls, documents: list[list[list[int]]], sizes: list[list[int]], labels: list[int], rounds: int = ROUNDS) -> LineField:
+        """Fit with the labels of documents, then of lines as they are found; sizes: words of each line."""
+        field, own = cls.fit(documents, labels), None
+        for _ in range(rounds):
+            own = [field.line_labels(lines, n, y) for lines, n, y in zip(documents, sizes, labels, strict=True)]
+            field = cls.fit(documents, labels, own)
+        shares = np.asarray([sum(s for s, y in zip(n, field.viterbi(lines), strict=True) if y) / max(1, sum(n)) for lines, n in zip(documents, sizes, strict=True)])
+        gold = np.asarray(labels)
+        # of equal ones the share nearest to CONTENT_SHARE
+        best = max(((shares[gold == 1] >= t).mean() + (shares[gold == 0] < t).mean(), -abs(t - CONTENT_SHARE), t) for t in SHARES)
+        field.share = best[2] if best[0] > 1 else CONTENT_SHARE
+        return field
+
+    def line_labels(self, lines: list[list[int]], sizes: list[int], label: int) -> list[int]:
+        """Labels of the lines of a labelled document, by their features alone."""
+        margin = self.emit[np.asarray(lines)].sum(1) @ np.array([-1.0, 1.0])
+        if label == 0:
+            out = (margin > 0).astype(int)
+            out[np.where(np.asarray(sizes) > 0, margin, np.inf).argmin()] = 0
+            return out.tolist()
+        out, left = np.ones(len(lines), int), sum(sizes) / 2
+        for i in np.argsort(margin).tolist():
+            if margin[i] >= -CLEAR or sizes[i] > left:
+                break
+            out[i], left = 0, left - sizes[i]
+        return out.tolist()
+
     def viterbi(self, lines: list[list[int]]) -> list[int]:
         """The best label sequence; ties go to content."""
         if not lines:
@@ -203,10 +238,11 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
         .orderBy("doc_id").limit(sample)
         .collect()
     )
-    documents = [(line_features(r["text"])[0], int(r["quality"])) for r in rows]
-    if len({y for _, y in documents}) < 2:
+    labels_ = [int(r["quality"]) for r in rows]
+    if len(set(labels_)) < 2:
         return LineField.zero()
-    return LineField.fit([d for d, _ in documents], [y for _, y in documents])
+    documents, sizes = zip(*(line_features(r["text"]) for r in rows), strict=True)
+    return LineField.learn(list(documents), list(sizes), labels_)
 
 
 def label_lines(docs: DataFrame, field: LineField) -> DataFrame:
@@ -220,7 +256,7 @@ def label_lines(docs: DataFrame, field: LineField) -> DataFrame:
                 lines, sizes = line_features(text)
                 content = sum(s for s, y in zip(sizes, field.viterbi(lines), strict=True) if y)
                 failed = n < MIN_WORDS or 100 * repeats > 50 * n
-                rows.append((n, chars, symbols, duplicates, repeats, failed, not failed and content >= CONTENT_SHARE * n, len(lines), content))
+                rows.append((n, chars, symbols, duplicates, repeats, failed, not failed and content >= field.share * n, len(lines), content))
             columns = list(zip(*rows, strict=True))
             kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.int64()] * 2
             return pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [f.split()[0] for f in SCHEMA.split(", ")])
@@ -235,14 +271,14 @@ def keep_good(docs: DataFrame, field: LineField) -> DataFrame:
     schema = docs.schema
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
             for text in texts(batch):
                 n, _, _, _, repeats = base_counts(text)
                 good = n >= MIN_WORDS and 100 * repeats <= 50 * n
                 if good:
                     lines, sizes = line_features(text)
-                    good = sum(s for s, y in zip(sizes, field.viterbi(lines), strict=True) if y) >= CONTENT_SHARE * n
+                    good = sum(s for s, y in zip(sizes, field.viterbi(lines), strict=True) if y) >= field.share * n
                 keep.append(good)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
