@@ -1,50 +1,113 @@
 """Quality by perplexity: an interpolated modified Kneser-Ney model of characters, trained on the trusted documents.
 
-The model's units are code points (digits count as one, code points beyond the basic plane as one), so that languages
-with rich or unseen words are scored alike; ORDER units make a key of 64 bits. Trusted are the documents labelled good.
-Counts are taken over all their text, pre-aggregated in each slice, and summed in shards by key. Discounts, context
-sums, continuation counts and the probabilities of every order are joins and aggregates over these sharded tables.
+The model's units are code points, each its own, so that languages with rich or unseen words are scored alike; ORDER
+units of 21 bits make a key of two 64-bit halves (`lo` the last three units, `hi` those before). Trusted are the
+documents labelled good; one in HELD of them, by a hash of doc_id, is held out of the training. Counts are taken over all
+text of the others, pre-aggregated in each slice, and summed in shards by key. Discounts, context sums, continuation
+counts and the probabilities of every order are joins and aggregates over these sharded tables. N-grams that begin with
+the start mark keep their counts in the lower orders, as nothing else can stand before them.
 
 Scoring goes by files of the document table. The distinct keys of each file are joined with the sharded model, and the
 answers are written to the shared folder, a part for each file. A task then reads its file's answers and sums up whole
 texts. Neither the texts nor a row for each n-gram of a document are shuffled, nothing grows on the driver, and no model
 is broadcast.
 
-A document is kept if its perplexity is at most its language's threshold: the QUANTILE of the trusted documents of that
-language (of all, where it has none), times MARGIN. For this comparison each text is taken to be longer by PRIOR units
-of its language's mean, as the perplexity of a few words says little.
+A document is kept if its perplexity is at most its language's threshold: the QUANTILE of the held-out documents of that
+language (of all, where it has none), which the model has not seen; a few documents hardly show that quantile, so it is
+not taken lower than the quantile of the normal distribution of their logarithms' mean and deviation. For this comparison each text is taken to be longer
+by PRIOR units of its language's mean, as the perplexity of a few words says little.
 
 Defined cases: a null or empty text has no units, a null perplexity and isn't kept; rows with a null doc_id are scored
 but never trusted; a null language is a language of its own; repeated rows count as often as they stand there; a label
-conflict counts as not trusted; without trusted text every perplexity is null and everything with a text is kept;
-further columns are ignored; an empty table gives an empty result.
+conflict counts as not trusted; without trusted text every perplexity is null and everything with a text is kept, and
+without held-out documents the trusted ones set the thresholds; further columns are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestor.llm.common import fresh_path, slices, table, texts, written
 
-ORDER, QUANTILE, MARGIN, PRIOR = 4, 0.995, 1.05, 60
-BITS = 16
-_START, _END = 1, 2  # code points that no text holds for another purpose
-
-
-def keys_of(text: str) -> np.ndarray:
-    """The key of each ORDER-gram of a text, from the first unit to the end mark."""
-    units = np.frombuffer(text.encode("utf-32-le"), "<u4")
-    units = np.where((units >= 48) & (units <= 57), 48, np.minimum(units, 0xFFFF)).astype(np.uint64)
-    padded = np.concatenate([np.full(ORDER - 1, _START, np.uint64), units, np.full(1, _END, np.uint64)])
-    n = len(units) + 1
-    key = np.zeros(n, np.uint64)
-    for k in range(ORDER):
-        key = key << np.uint64(BITS) | padded[k : k + n]
-    return key.view(np.int64)
+ORDER, QUANTILE, PRIOR, HELD = 5, 0.995, 60, 4
+BITS = 21
+_MASK = (1 << BITS) - 1
+_START, _END = 0x110000, 0x110001  # beyond the code points, so no text holds them
+
+
+def units_of(texts_: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(start marks, units and end mark of each text, one after the other; the place after the last of each)."""
+    marks, end = np.full(ORDER - 1, _START, "<u4").tobytes(), np.asarray([_END], "<u4").tobytes()
+    units = np.frombuffer(b"".join([marks + t.encode("utf-32-le") + end for t in texts_]), "<u4").astype(np.int64)
+    return units, np.cumsum([len(t) + ORDER for t in texts_], dtype=np.int64)
+
+
+def grams_of(texts_: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct ORDER-grams of some texts (hi, lo), for each text and place which it is, and the places a text has."""
+    units, ends = units_of(texts_)
+    lengths = np.diff(ends, prepend=0) - (ORDER - 1)
+    if not len(units):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), lengths
+    last = np.repeat(ends - np.cumsum(lengths), lengths) + np.arange(int(lengths.sum()))  # of each gram
+    place = np.zeros(_END + 1, np.int64)
+    place[units] = 1
+    alphabet = np.flatnonzero(place)
+    bits = max(1, int(len(alphabet) - 1).bit_length())
+    if bits * ORDER < 64:  # a gram is one integer of places in the alphabet
+        place[alphabet] = np.arange(len(alphabet))
+        dense = place[units]
+        packed = np.zeros(len(last), np.int64)
+        for k in range(ORDER):
+            packed = packed << bits | dense[last - (ORDER - 1) + k]
+        found = pa.array(packed).dictionary_encode()
+        values, mask = np.asarray(found.dictionary), (1 << bits) - 1
+        own = alphabet[(values[:, None] >> np.arange((ORDER - 1) * bits, -1, -bits)) & mask]
+    else:
+        whole = units[last[:, None] + np.arange(1 - ORDER, 1)].astype("<u4")
+        kind = pa.binary(4 * ORDER)
+        found = pa.Array.from_buffers(kind, len(whole), [None, pa.py_buffer(np.ascontiguousarray(whole))]).dictionary_encode()
+        own = np.frombuffer(b"".join(found.dictionary.to_pylist()), "<u4").astype(np.int64).reshape(-1, ORDER)
+    hi, lo = _halves(own.ravel(), np.arange(len(own)) * ORDER + ORDER - 1)
+    return hi, lo, np.asarray(found.indices).astype(np.int64), lengths
+
+
+def _halves(units: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    hi, lo = np.zeros(len(last), np.int64), np.zeros(len(last), np.int64)
+    for k in range(ORDER - 1, 2, -1):
+        hi = hi << BITS | units[last - k]
+    for k in range(2, -1, -1):
+        lo = lo << BITS | units[last - k]
+    return hi, lo
+
+
+def _as_bytes(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """Both halves as sixteen bytes that sort as the pair does."""
+    return np.stack([hi, lo], 1).astype(">i8").view("S16").ravel()
+
+
+def _suffix(k: int) -> tuple[Column, Column]:
+    """(hi, lo) of the last k units."""
+    if k <= 3:
+        return F.lit(0).cast("long"), F.col("lo").bitwiseAND(F.lit((1 << BITS * k) - 1))
+    return F.col("hi").bitwiseAND(F.lit((1 << BITS * (k - 3)) - 1)), F.col("lo")
+
+
+def _context(hi: Column, lo: Column) -> tuple[Column, Column]:
+    """(hi, lo) without the last unit."""
+    return F.shiftrightunsigned(hi, BITS), F.shiftrightunsigned(lo, BITS).bitwiseOR(F.shiftleft(hi.bitwiseAND(F.lit(_MASK)), 2 * BITS))
+
+
+def _starts(k: int) -> Column:
+    """Whether a k-gram begins with the start mark."""
+    first = F.shiftrightunsigned("lo", BITS * (k - 1)) if k <= 3 else F.shiftrightunsigned("hi", BITS * (k - 4))
+    return first.bitwiseAND(F.lit(_MASK)) == _START
 
 
 def by_file(docs: DataFrame) -> DataFrame:
@@ -87,47 +150,43 @@ def _runs(batch: pa.RecordBatch):
 
 
 def _counted(docs: DataFrame, trusted: SideTable) -> DataFrame:
-    """key and c over the trusted documents."""
+    """hi, lo and c over the trusted documents that aren't held out."""
 
     def run(batches):
-        at, ids = None, None
+        at, own = None, set()
         for batch in slices(batches):
             for file, part in _runs(batch):
                 if file != at:
-                    at, (ids,) = file, trusted.read(file)
-                own = set(ids.tolist())
-                found = [keys_of(t) for d, t in zip(part["doc_id"].to_pylist(), texts(part), strict=True) if d in own and t]
-                if found:
-                    key, c = np.unique(np.concatenate(found), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(c.astype(np.int64))], ["key", "c"])
+                    ids, held = trusted.read(file)
+                    at, own = file, set(ids[held == 0].tolist())
+                hi, lo, which, _ = grams_of([t for d, t in zip(part["doc_id"].to_pylist(), texts(part), strict=True) if d in own and t])
+                if len(hi):
+                    yield pa.RecordBatch.from_arrays([pa.array(hi), pa.array(lo), pa.array(np.bincount(which, minlength=len(hi)).astype(np.int64))], ["hi", "lo", "c"])
 
-    return docs.select("doc_id", "text", "file").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    return docs.select("doc_id", "text", "file").mapInArrow(run, "hi long, lo long, c long").groupBy("hi", "lo").agg(F.sum("c").alias("c"))
 
 
 def _asked(docs: DataFrame) -> DataFrame:
-    """file and key, each once."""
+    """file, hi and lo, each once."""
 
     def run(batches):
         for batch in slices(batches):
             for file, part in _runs(batch):
-                found = [keys_of(t) for t in texts(part) if t]
-                if found:
-                    key = np.unique(np.concatenate(found))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), file)), pa.array(key)], ["file", "key"])
-
-    return docs.select("text", "file").mapInArrow(run, "file long, key long").distinct()
-
+                hi, lo, _, _ = grams_of([t for t in texts(part) if t])
+                if len(hi):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hi), file)), pa.array(hi), pa.array(lo)], ["file", "hi", "lo"])
 
-def _mask(units: int) -> int:
-    return (1 << BITS * units) - 1
+    return docs.select("text", "file").mapInArrow(run, "file long, hi long, lo long").distinct()
 
 
 def model(counts: DataFrame) -> list[dict[str, DataFrame]]:
-    """For each order 1 .. ORDER: `seen` (key, p) of its n-grams and `back` (context, g), the weight of the lower order."""
+    """For each order 1 .. ORDER: `seen` (hi, lo, p) of its n-grams and `back` (hi, lo, g): of each context, the weight of
+    the lower order."""
     orders = [counts]
     for k in range(ORDER - 1, 0, -1):  # continuation counts: in how many n-grams of the next order it ends
-        higher = orders[0]
-        orders.insert(0, written(higher.groupBy(F.col("key").bitwiseAND(F.lit(_mask(k))).alias("key")).agg(F.count("*").alias("c")), f"order{k}"))
+        hi, lo = _suffix(k)
+        short = orders[0].select(hi.alias("hi"), lo.alias("lo"), "c").groupBy("hi", "lo").agg(F.count("*").alias("n"), F.sum("c").alias("c"))
+        orders.insert(0, written(short.select("hi", "lo", F.when(_starts(k), F.col("c")).otherwise(F.col("n")).alias("c")), f"order{k}"))
     out, lower = [], None
     for k, grams in enumerate(orders, 1):
         n = grams.agg(*[F.count_if(F.col("c") == i).alias(f"n{i}") for i in (1, 2, 3, 4)]).first()
@@ -135,84 +194,95 @@ def model(counts: DataFrame) -> list[dict[str, DataFrame]]:
         y = n1 / (n1 + 2 * n2)
         d = [min(max(x, 0.05), i + 0.95) for i, x in enumerate((1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3))]
         cut = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
-        context = F.shiftrightunsigned("key", BITS) if k > 1 else F.lit(0).cast("long")
-        grams = grams.withColumn("context", context).withColumn("cut", cut)
-        back = grams.groupBy("context").agg(F.sum("c").alias("total"), F.sum("cut").alias("held")).select("context", "total", (F.col("held") / F.col("total")).alias("g"))
-        both = grams.join(back, "context").select("key", "g", ((F.col("c") - F.col("cut")) / F.col("total")).alias("own"))
+        hi, lo = _context(F.col("hi"), F.col("lo"))
+        grams = grams.withColumns({"cut": cut, "chi": hi, "clo": lo})
+        back = grams.groupBy("chi", "clo").agg(F.sum("c").alias("total"), F.sum("cut").alias("held")).select("chi", "clo", "total", (F.col("held") / F.col("total")).alias("g"))
+        both = grams.join(back, ["chi", "clo"]).select("hi", "lo", "g", ((F.col("c") - F.col("cut")) / F.col("total")).alias("own"))
         if lower is None:
             units = orders[0].count() + 1  # one more for units never seen
-            seen = both.select("key", (F.col("own") + F.col("g") / units).alias("p"))
+            seen = both.select("hi", "lo", (F.col("own") + F.col("g") / units).alias("p"))
             floor = {"p": 1.0 / units}
         else:
-            shorter = F.col("key").bitwiseAND(F.lit(_mask(k - 1)))
-            seen = both.withColumn("short", shorter).join(lower.select(F.col("key").alias("short"), F.col("p").alias("p0")), "short").select("key", (F.col("own") + F.col("g") * F.col("p0")).alias("p"))
+            hi, lo = _suffix(k - 1)
+            lower = lower.select(F.col("hi").alias("shi"), F.col("lo").alias("slo"), F.col("p").alias("p0"))
+            seen = both.withColumns({"shi": hi, "slo": lo}).join(lower, ["shi", "slo"]).select("hi", "lo", (F.col("own") + F.col("g") * F.col("p0")).alias("p"))
         lower = written(seen, f"seen{k}")
-        out.append({"seen": lower, "back": back.select("context", "g")} | (floor if k == 1 else {}))
+        out.append({"seen": lower, "back": back.select(F.col("chi").alias("hi"), F.col("clo").alias("lo"), "g")} | (floor if k == 1 else {}))
     return out
 
 
 def answers(asked: DataFrame, orders: list[dict[str, DataFrame]]) -> DataFrame:
-    """key and log p of every distinct key that is asked for."""
-    now = asked.select("key").distinct()
+    """hi, lo and log p of every distinct key that is asked for."""
+    now = asked.select("hi", "lo").distinct()
     weight, p = F.lit(1.0), F.lit(None).cast("double")
     for k in range(ORDER, 0, -1):
-        part = F.col("key").bitwiseAND(F.lit(_mask(k))) if k < ORDER else F.col("key")
-        now = now.withColumn("part", part).join(orders[k - 1]["seen"].select(F.col("key").alias("part"), F.col("p").alias(f"p{k}")), "part", "left")
+        hi, lo = _suffix(k)
+        now = now.withColumns({"phi": hi, "plo": lo}).join(orders[k - 1]["seen"].select(F.col("hi").alias("phi"), F.col("lo").alias("plo"), F.col("p").alias(f"p{k}")), ["phi", "plo"], "left")
         # the first order that has seen the n-gram decides; on the way the contexts' weights are multiplied
         p = F.coalesce(p, weight * F.col(f"p{k}"))
         if k > 1:
-            now = now.withColumn("part", F.shiftrightunsigned(part, BITS)).join(orders[k - 1]["back"].select(F.col("context").alias("part"), F.col("g").alias(f"g{k}")), "part", "left")
+            hi, lo = _context(F.col("phi"), F.col("plo"))
+            now = now.withColumns({"phi": hi, "plo": lo}).join(orders[k - 1]["back"].select(F.col("hi").alias("phi"), F.col("lo").alias("plo"), F.col("g").alias(f"g{k}")), ["phi", "plo"], "left")
             weight = weight * F.coalesce(F.col(f"g{k}"), F.lit(1.0))
-        now = now.drop("part")
+        now = now.drop("phi", "plo")
     back = orders[0]["back"].first()
     unseen = weight * F.lit((back["g"] if back else 1.0) * orders[0]["p"])
-    return now.select("key", F.log(F.coalesce(p, unseen)).alias("logp"))
+    return now.select("hi", "lo", F.log(F.coalesce(p, unseen)).alias("logp"))
 
 
 def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, lang, n_units, perplexity and trusted of every row of docs."""
+    """doc_id, lang, n_units, perplexity, trusted and held (out of the training) of every row of docs."""
     docs = by_file(docs)
     good = labels.where("doc_id is not null and quality is not null").groupBy(labels["doc_id"].cast("long").alias("doc_id")).agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
-    trusted = SideTable(docs.select("file", "doc_id").join(good, "doc_id", "left_semi").distinct().select("file", "doc_id"), "trusted")
+    held = (F.pmod(F.xxhash64("doc_id", F.lit(HELD)), F.lit(HELD)) == 0).cast("int").alias("held")
+    trusted = SideTable(docs.select("file", "doc_id").join(good, "doc_id", "left_semi").distinct().select("file", "doc_id", held), "trusted")
     counts = written(_counted(docs, trusted), "counts")
     empty = counts.isEmpty()
     if not empty:
         asked = written(_asked(docs), "asked")
-        table_ = SideTable(asked.join(answers(asked, model(counts)), "key").select("file", "key", "logp"), "answers")
+        table_ = SideTable(asked.join(answers(asked, model(counts)), ["hi", "lo"]).select("file", "hi", "lo", "logp"), "answers")
 
     def run(batches):
         at = None
         for batch in slices(batches):
             for file, part in _runs(batch):
                 if file != at:
-                    at, own = file, set(trusted.read(file)[0].tolist())
-                    key, logp = (np.zeros(1, np.int64), np.zeros(1)) if empty else table_.read(file)
+                    ids, out = trusted.read(file)
+                    at, own, apart = file, set(ids.tolist()), set(ids[out == 1].tolist())
+                    if not empty:
+                        hi, lo, logp = table_.read(file)
+                        key = _as_bytes(hi, lo)
+                        order = np.argsort(key)
+                        key, logp = key[order], logp[order]
                 found = texts(part)
                 size = [len(t) for t in found]
                 value: list[float | None] = [None] * len(found)
                 if not empty:
-                    parts = [keys_of(t) if t else np.zeros(0, np.int64) for t in found]
-                    lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-                    asked_, where = np.unique(np.concatenate(parts), return_inverse=True)
-                    sums = np.concatenate([[0.0], np.cumsum(logp[np.searchsorted(key, asked_)][where])]) if len(asked_) else np.zeros(1)
+                    hi, lo, which, lengths = grams_of([t for t in found if t])
+                    sums = np.concatenate([[0.0], np.cumsum(logp[np.searchsorted(key, _as_bytes(hi, lo))][which])]) if len(hi) else np.zeros(1)
                     ends = np.cumsum(lengths)
-                    value = [float(np.exp(-(sums[e] - sums[e - n]) / n)) if n else None for e, n in zip(ends, lengths, strict=True)]
+                    scores = iter([float(np.exp(-(sums[e] - sums[e - n]) / n)) for e, n in zip(ends, lengths, strict=True)])
+                    value = [next(scores) if t else None for t in found]
                 ids = part["doc_id"].to_pylist()
-                yield pa.RecordBatch.from_arrays([part["doc_id"], part["lang"].cast(pa.string()), pa.array(size, pa.int64()), pa.array(value, pa.float64()), pa.array([d in own for d in ids], pa.bool_())], ["doc_id", "lang", "n_units", "perplexity", "trusted"])
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["lang"].cast(pa.string()), pa.array(size, pa.int64()), pa.array(value, pa.float64()), pa.array([d in own for d in ids], pa.bool_()), pa.array([d in apart for d in ids], pa.bool_())], ["doc_id", "lang", "n_units", "perplexity", "trusted", "held"])
 
-    return docs.select("doc_id", "text", "lang", "file").mapInArrow(run, "doc_id long, lang string, n_units long, perplexity double, trusted boolean")
+    return docs.select("doc_id", "text", "lang", "file").mapInArrow(run, "doc_id long, lang string, n_units long, perplexity double, trusted boolean, held boolean")
 
 
-def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """doc_id, lang, n_units, perplexity (six decimals), threshold and kept of every row of docs."""
     scored = written(perplexities(docs, labels), "perplexity")
-    known = scored.where("trusted and perplexity is not null")
+    apart = "held and perplexity is not null"
+    if scored.where(apart).isEmpty():
+        apart = "trusted and perplexity is not null"
+    known = scored.where(apart)
     overall = known.agg(F.avg(F.log("perplexity")).alias("h")).first()["h"]
     mean = known.groupBy("lang").agg(F.avg(F.log("perplexity")).alias("h")).select(F.col("lang").alias("_lang"), "h")
     scored = scored.join(mean, F.col("lang").eqNullSafe(F.col("_lang")), "left").withColumn("h", F.coalesce("h", F.lit(overall).cast("double"))).drop("_lang")
     scored = scored.withColumn("level", F.exp((F.log("perplexity") * F.col("n_units") + F.col("h") * PRIOR) / (F.col("n_units") + PRIOR)))
-    known = scored.where("trusted and perplexity is not null")
-    limit = F.percentile_approx("level", quantile, 100_000) * margin
+    known = scored.where(apart)
+    normal = F.exp(F.avg(F.log("level")) + NormalDist().inv_cdf(quantile) * F.stddev(F.log("level")))
+    limit = F.greatest(F.percentile_approx("level", quantile, 100_000), normal)  # a null deviation, of one document, is passed over
     least = known.agg(limit.alias("t")).first()["t"]
     each = known.groupBy("lang").agg(limit.alias("t")).select(F.col("lang").alias("_lang"), "t")
     out = scored.join(each, F.col("lang").eqNullSafe(F.col("_lang")), "left").withColumn("threshold", F.coalesce("t", F.lit(least).cast("double")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -197,20 +198,69 @@ def test_line_labels_separate(spark):
 # --- 4 -----------------------------------------------------------------------
 
 
-def test_kneser_ney_sums_to_one(spark):
-    text = "abracadabra abba"
-    counts = spark.createDataFrame([(int(k), 1) for k in op04_perplexity.keys_of(text)], "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+def kneser_ney(texts, order):
+    """Brute force in dictionaries: p(unit, context) of interpolated modified Kneser-Ney, contexts as tuples."""
+    start, end = op04_perplexity._START, op04_perplexity._END
+    raw = [Counter() for _ in range(order + 1)]
+    for t in texts:
+        u = [start] * (order - 1) + list(map(ord, t)) + [end]
+        for i in range(order - 1, len(u)):
+            raw[order][tuple(u[i - order + 1 : i + 1])] += 1
+    for k in range(order - 1, 0, -1):
+        for g, c in raw[k + 1].items():
+            raw[k][g[1:]] += c if g[1] == start else 1
+    units = len(raw[1]) + 1
+    discount = {}
+    for k in range(1, order + 1):
+        n1, n2, n3, n4 = (max(1, sum(c == i for c in raw[k].values())) for i in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2)
+        discount[k] = [min(max(x, 0.05), i + 0.95) for i, x in enumerate((1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3))]
+
+    def p(g):
+        k = len(g)
+        if not k:
+            return 1 / units
+        around = {h: c for h, c in raw[k].items() if h[:-1] == g[:-1]}
+        if not around:
+            return p(g[1:])
+        total = sum(around.values())
+        d = lambda c: discount[k][min(c, 3) - 1]
+        own = (around[g] - d(around[g])) / total if g in around else 0
+        return own + sum(map(d, around.values())) / total * p(g[1:])
+
+    return p, units
+
+
+def test_kneser_ney_is_that_of_dictionaries(spark):
+    """Sums to one, and equals brute force, with marks of its own, characters beyond the basic plane, and digits."""
+    trained, asked = ["abracadabra abba", "a\x01b\x02c 🙂🙃 𠀀𠀁 1234", "abba", "", "abba"], ["abrabba 🙃🙂 2143", "zz", "abba"]
+    order = op04_perplexity.ORDER
+    hi, lo, which, _ = op04_perplexity.grams_of([t for t in trained if t])
+    counts = spark.createDataFrame(list(zip(hi.tolist(), lo.tolist(), np.bincount(which).tolist(), strict=True)), "hi long, lo long, c long")
     orders = op04_perplexity.model(counts)
-    units = sorted(set(map(ord, text)) | {2})
-    for context in ("abr", "aaa", "zzz"):
-        start = 0
-        for c in context:
-            start = start << 16 | ord(c)
-        keys = [(start << 16 | u) for u in units]
-        asked = spark.createDataFrame([(k - (1 << 64) if k >> 63 else k,) for k in keys], "key long")
-        total = sum(np.exp(r["logp"]) for r in op04_perplexity.answers(asked, orders).collect())
-        unseen = asked.limit(1).select((F.col("key").bitwiseAND(F.lit(-65536)) + ord("q")).alias("key"))
-        assert total + np.exp(op04_perplexity.answers(unseen, orders).first()["logp"]) == pytest.approx(1, abs=1e-6)
+    p, units = kneser_ney([t for t in trained if t], order)
+    hi, lo, which, lengths = op04_perplexity.grams_of(asked)
+    got = {(r["hi"], r["lo"]): r["logp"] for r in op04_perplexity.answers(spark.createDataFrame(list(zip(hi.tolist(), lo.tolist(), strict=True)), "hi long, lo long"), orders).collect()}
+    at = 0
+    for t, n in zip(asked, lengths.tolist(), strict=True):
+        u = [op04_perplexity._START] * (order - 1) + list(map(ord, t)) + [op04_perplexity._END]
+        for i in range(n):
+            j = which[at + i]
+            assert np.exp(got[int(hi[j]), int(lo[j])]) == pytest.approx(p(tuple(u[i : i + order])), rel=1e-9)
+        at += n
+    seen = set(map(ord, "".join(trained))) | {op04_perplexity._END}
+    for context in ("abra", "zzzz", "🙂🙃 𠀀"):
+        assert sum(p((*map(ord, context), x)) for x in [*seen, ord("q")]) == pytest.approx(1)
+    assert units == len(seen) + 1
+
+
+def test_grams_of_large_alphabets():
+    rnd = random.Random(8)
+    many = ["".join(chr(rnd.randint(0x4E00, 0x9FFF)) for _ in range(9000)), "ab"]
+    hi, lo, which, lengths = op04_perplexity.grams_of(many)
+    u, ends = op04_perplexity.units_of(many)
+    assert lengths.tolist() == [9001, 3] and len(which) == 9004 and ends[-1] == len(u)
+    assert [int(lo[j]) & (1 << 21) - 1 for j in which[9001:]] == [97, 98, op04_perplexity._END]
 
 
 def test_perplexity_separates(spark):
