@@ -147,11 +147,14 @@ class Scanner:
             width = int(self.stretch * len(own)) + 2
             found += self._windows(name, own, distinct, missing, words, places, at, width)
         found.sort(key=lambda h: (-h[1], h[2] - h[3], h[0], h[2]))
-        kept: list[tuple[str, float, int, int]] = []
+        starts: list[int] = []
+        kept: list[tuple[str, float, int, int]] = []  # by start, without overlaps: only the neighbours can overlap another
         for h in found:
-            if all(h[3] <= k[2] or k[3] <= h[2] for k in kept):
-                kept.append(h)
-        return sorted(kept, key=lambda h: h[2])
+            i = bisect_left(starts, h[2])
+            if (i == 0 or kept[i - 1][3] <= h[2]) and (i == len(kept) or h[3] <= kept[i][2]):
+                starts.insert(i, h[2])
+                kept.insert(i, h)
+        return kept
 
     def _windows(self, name, own, distinct, missing, words, places, at, width):
         """Align each window of matching words that holds enough of the template's distinct words."""
