@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from attestor.llm.common import fresh_path, kept, map_rows, table, texts, written
 
 END_ID, FILE_BYTES, MAGIC = 2, 32 << 20, b"SVBRANK1"
-CACHE = 1_000_000  # words, in two generations; about 200 bytes each
+CACHE, PARTS = 700_000, 200_000  # words, in two generations, and parts of words; about 200 bytes each
 BLOCK = 1 << 20  # values of a block, a document more at most
 MOST_TASKS = 100_000
 LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00de\u00df-\u00f6\u00f8-\u00ff"
@@ -95,7 +95,7 @@ class WordEncoder:
         """Plain words part by part; other words in composed form go to the library as one text, which is cut again by the
         places of the tokens; the rest go one by one, as normalisation may move their places."""
         new, others, parts, match = self.new, [], self.parts, _PLAIN.fullmatch
-        if len(parts) > CACHE:
+        if len(parts) > PARTS:
             parts.clear()
         for w in fresh:
             m = match(w)
