@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from attestor.functions.unicode import nfkc, nfkc_casefold
+
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value) with value computed once, also where use() refers to it in a lambda."""
@@ -16,9 +18,19 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 # --- normalisation -----------------------------------------------------------
 
 
+#: Characters beyond ASCII and the composed Latin-1 letters: only texts with one of them need more than lower().
+_OTHERS = r"[^\x00-\x7FÀ-ÖØ-öø-ÿ]"
+
+
 def fold(text: Column) -> Column:
-    """Lower case with ß as ss: casefold for the Latin texts of the tables (see functions.unicode for all of Unicode)."""
-    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    """Compatibility composition (NFKC) and case folding of any text. Texts of ASCII and Latin-1 letters stay in the JVM:
+    they reach the Arrow function as nulls only."""
+    return F.coalesce(nfkc_casefold(F.when(text.rlike(_OTHERS), text)), F.replace(F.lower(text), F.lit("ß"), F.lit("ss")))
+
+
+def compatible(text: Column) -> Column:
+    """Compatibility composition, case kept."""
+    return F.coalesce(nfkc(F.when(text.rlike(r"[^\x00-\x7FÀ-ÖØ-öø-ÿ]"), text)), text)
 
 
 def collapse(text: Column) -> Column:
@@ -30,14 +42,24 @@ def normal_key(text: Column) -> Column:
     return collapse(fold(text))
 
 
+def identity_text(text: Column) -> Column:
+    """Compatibility composition and collapsed white space, case kept."""
+    return collapse(compatible(text))
+
+
+#: Fixed value: punctuation of claims.
+MARKS = ".,，。;；:：!?！？、()（）[]【】{}《》<>\"'‘’“”"
+_MARKS = "[" + "".join("\\" + c if c in "[]().?{}" else c for c in MARKS) + r"\s]+"
+
+
 def claim_key(text: Column) -> Column:
     """As normal_key, punctuation taken for white space."""
-    return collapse(F.regexp_replace(fold(text), r"[^\p{L}\p{N}]+", " "))
+    return F.trim(F.regexp_replace(fold(text), _MARKS, " "))
 
 
 def edge_key(text: Column) -> Column:
     """As normal_key, without punctuation at the ends."""
-    return F.regexp_replace(normal_key(text), r"^[\s.,;:!?'\"()\[\]-]+|[\s.,;:!?'\"()\[\]-]+$", "")
+    return F.regexp_replace(normal_key(text), f"^{_MARKS}|{_MARKS}$", "")
 
 
 def compact(text: Column) -> Column:
@@ -51,8 +73,8 @@ def page_text(text: Column) -> Column:
 
 
 def web_text(text: Column) -> Column:
-    """Line ends unified, lines stripped on the right, the whole stripped."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"[ \t]+(?=\n)", ""), r"^\s+|\s+$", "")
+    """Compatibility composition, line ends unified, lines stripped on the right, the whole stripped."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(compatible(text), r"\r\n?", "\n"), r"[ \t]+(?=\n)", ""), r"^\s+|\s+$", "")
 
 
 # --- tokens and shingles -----------------------------------------------------
@@ -61,10 +83,23 @@ CJK = "㐀-鿿"
 
 
 def terms(text: Column) -> Column:
-    """Lower-case ASCII words, and CJK runs as overlapping pairs of characters (single characters stay)."""
-    raw = F.regexp_extract_all(F.lower(text), F.lit(f"([a-z0-9]+|[{CJK}]+)"), F.lit(1))
-    pairs = lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, F.lit(2)))
-    return F.flatten(F.transform(raw, lambda t: F.when(t.rlike(f"^[{CJK}]{{2,}}$"), pairs(t)).otherwise(F.array(t))))
+    """Folded ASCII words, and CJK runs as overlapping pairs of characters (single characters stay). One test a text finds
+    out whether there is any CJK."""
+
+    def pairs(run: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substring(run, i, F.lit(2)))
+
+    def of(low: Column) -> Column:
+        both = F.regexp_extract_all(low, F.lit(f"([a-z0-9]+|[{CJK}]+)"), F.lit(1))
+        mixed = F.flatten(F.transform(both, lambda t: F.when((F.length(t) > 1) & (F.ascii(t) > 127), pairs(t)).otherwise(F.array(t))))
+        return F.when(low.rlike(f"[{CJK}]"), mixed).otherwise(F.regexp_extract_all(low, F.lit("([a-z0-9]+)"), F.lit(1)))
+
+    return let(fold(text), of)
+
+
+def term_count(text: Column) -> Column:
+    """size(terms()), without building them where there is no CJK."""
+    return let(fold(text), lambda low: F.when(low.rlike(f"[{CJK}]"), F.regexp_count(low, F.lit("[a-z0-9]+")) + F.aggregate(F.regexp_extract_all(low, F.lit(f"([{CJK}]+)"), F.lit(1)), F.lit(0), lambda n, run: n + F.greatest(F.lit(1), F.length(run) - 1))).otherwise(F.regexp_count(low, F.lit("[a-z0-9]+"))))
 
 
 def char_grams(text: Column, n: int) -> Column:
@@ -79,13 +114,14 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Trimmed, non-empty sentences, end marks kept; semicolons and full stops of abbreviations don't part."""
-    found = F.regexp_extract_all(text, F.lit("([^。！？!?\n.]+[。！？!?.]?)"), F.lit(1))
+    """Trimmed, non-empty sentences, end marks kept; semicolons and Western full stops don't part, line ends do."""
+    found = F.regexp_extract_all(text, F.lit("([^。！？!?\n]+[。！？!?]?)"), F.lit(1))
     return F.filter(F.transform(found, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def clauses(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, "[。！？；.!?;]"), lambda s: F.trim(s)), lambda s: s != "")
+    """Parts between full-width end marks and semicolons."""
+    return F.filter(F.transform(F.split(text, "[。！？；]"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def contains_phrase(text: Column, phrase: Column) -> Column:
@@ -175,22 +211,81 @@ def json_id(prefix: str, length: int = 32, **fields: Column) -> Column:
 # --- periods, amounts, guards ------------------------------------------------
 
 
+#: The forms of a period after its year, white space left out, and what stands for them.
+_PERIODS = (
+    (r"度?", ""),
+    (r"(?:h1|1半年|上半年)", "-H1"),
+    (r"(?:h2|2半年|下半年)", "-H2"),
+    (r"(?:q1|第?[一1]季度)", "-Q1"),
+    (r"(?:q2|第?[二2]季度)", "-Q2"),
+    (r"(?:q3|第?[三3]季度)", "-Q3"),
+    (r"(?:q4|第?[四4]季度)", "-Q4"),
+)
+
+
 def normal_period(raw: Column) -> Column:
-    """2024, 2024H1, 2024Q3 in one form; other text normalised as it is."""
-    key = normal_key(raw)
-    year = F.regexp_extract(key, r"((?:19|20)\d{2})", 1)
-    half = F.regexp_extract(key, r"(?:^|[^a-z])h\s*([12])(?:$|[^0-9])", 1)
-    quarter = F.regexp_extract(key, r"(?:^|[^a-z])q\s*([1-4])(?:$|[^0-9])", 1)
-    return (
-        F.when((year != "") & (quarter != ""), F.concat(year, F.lit("Q"), quarter))
-        .when((year != "") & (half != ""), F.concat(year, F.lit("H"), half))
-        .when(key.rlike(r"^(?:fy\s*)?(?:19|20)\d{2}(?:\s*(?:annual|year|fy))?$"), year)
-        .otherwise(key)
-    )
+    """2024, 2024-H1 and 2024-Q3 for a whole text that names a year, half-year or quarter in Western or Chinese form
+    (FY2024, 2024年度, 2024年上半年, 2024年第三季度); any other text as edge_key() gives it, null as empty."""
+
+    def of(key: Column) -> Column:
+        dense = F.regexp_replace(key, r"\s+", "")
+        out = key
+        for form, name in reversed(_PERIODS):
+            lead = "(?:fy)?" if not name else ""
+            pattern = f"^{lead}((?:19|20)[0-9]{{2}})年?{form}$"
+            out = F.when(dense.rlike(pattern), F.concat(F.regexp_extract(dense, pattern, 1), F.lit(name))).otherwise(out)
+        return out
+
+    return let(F.coalesce(edge_key(raw), F.lit("")), of)
 
 
 def explicit_period(raw: Column) -> Column:
-    return F.coalesce(normal_period(raw).rlike(r"^(19|20)\d{2}([HQ][1-4])?$"), F.lit(False))
+    return F.coalesce(normal_period(raw).rlike(r"^(19|20)\d{2}(-[HQ][1-4])?$"), F.lit(False))
+
+
+# --- references, codes, times, rounding --------------------------------------
+
+
+def safe_ref(ref: Column, prefix: str) -> Column:
+    """A model's local reference such as " e1 " as E1; null if it isn't the prefix and a positive number."""
+    own = F.upper(F.trim(ref))
+    return F.when(own.rlike(f"^{prefix}[1-9][0-9]*$"), own)
+
+
+def credit_code(text: Column) -> Column:
+    """A unified social credit code: eighteen digits and capitals without I, O, S, V, Z; null if it isn't one."""
+    own = F.upper(F.regexp_replace(text, r"\s+", ""))
+    return F.when(own.rlike(r"^[0-9A-HJ-NP-RT-UW-Y]{18}$"), own)
+
+
+def iso_time(raw: Column) -> Column:
+    """An ISO date or time as a timestamp; one without a zone is UTC; null where there is none."""
+    own = F.trim(raw)
+    zoned = own.rlike(r"(Z|[+-]\d{2}:?\d{2})$") & own.contains("T")
+    return F.when(own.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:?\d{2})?)?$"), F.try_to_timestamp(F.when(zoned, own).otherwise(F.concat(own, F.when(own.rlike(r"\d{2}:\d{2}"), F.lit("Z")).otherwise(F.lit("T00:00:00Z"))))))
+
+
+def python_round(x: Column, digits: int) -> Column:
+    """Rounding of doubles as Python does it: of the exact binary value, halves to even."""
+    scale = 10.0**digits
+    split = 134217729.0  # 2**27 + 1: parts a double into halves whose products are exact
+
+    def halves(v: Column) -> tuple[Column, Column]:
+        high = v * split - (v * split - v)
+        return high, v - high
+
+    def of(v: Column) -> Column:
+        product = v * scale
+        (a, b), (c, d) = halves(v), halves(F.lit(scale))
+        error = ((a * c - product) + a * d + b * c) + b * d  # v * scale is product + error, exactly
+        low = F.floor(product).cast("double")
+        away = product - low - 0.5
+        even = F.pmod(low, F.lit(2.0)) == 0
+        up = (away > 0) | (away == 0) & ((error > 0) | (error == 0) & ~even)
+        near = F.when(up, low + 1).otherwise(low) / scale
+        return F.when(F.abs(product) < 2.0**52, near).otherwise(v)
+
+    return let(x.cast("double"), of)
 
 
 #: Multipliers to the base unit.

@@ -47,8 +47,10 @@ def planner(taken: DataFrame, executed: list[str], queries: int) -> list[str]:
 def run(pages: DataFrame, first: list[str], rounds: int = ROUNDS, queries: int = QUERIES, sources: int = SOURCES, plan: Callable[[DataFrame, list[str], int], list[str]] = planner) -> DataFrame:
     """canonical, round, result_id and n_chars of the sources taken in, and why the loop stopped."""
     spark = pages.sparkSession
-    if not spark.sparkContext.getCheckpointDir():  # the cluster's shared folder; one of our own only where none is set
+    if not spark.sparkContext.getCheckpointDir():  # the cluster's shared folder; one of our own in local mode only
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(shared or "file://" + tempfile.mkdtemp(prefix="attestor-"))
     executed: list[str] = []
     asked, taken, n, reason = first, None, 0, "max_rounds"

@@ -243,13 +243,16 @@ def claim_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return claims.assertions(facts, ["l_partkey", "period"])
 
 
-@query("""with f as (select o_orderkey, year(o_orderdate)::varchar y, month(o_orderdate) m, quarter(o_orderdate)::varchar q, (o_orderkey % 4)::int k from orders)
-select o_orderkey, case k when 0 then y when 1 then y || 'Q' || q when 2 then y || 'H' || (case when m <= 6 then '1' else '2' end) else 'around ' || y end period, k <> 3 explicit_period from f""")
+@query("""with f as (select o_orderkey, year(o_orderdate)::varchar y, month(o_orderdate) m, quarter(o_orderdate)::varchar q, (o_orderkey % 6)::int k from orders)
+select o_orderkey, case when k in (0, 5) then y when k in (1, 4) then y || '-Q' || q when k = 2 then y || '-H' || (case when m <= 6 then '1' else '2' end) else 'around ' || y end period, k <> 3 explicit_period from f""")
 def period_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Several spellings of periods in one form."""
     d = F.col("o_orderdate")
     y = F.year(d).cast("string")
-    raw = F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("FY "), y)).when(F.col("o_orderkey") % 4 == 1, F.concat(F.lit("Q"), F.quarter(d), F.lit("  "), y)).when(F.col("o_orderkey") % 4 == 2, F.concat(y, F.lit(" h"), F.when(F.month(d) <= 6, "1").otherwise("2"))).otherwise(F.concat(F.lit(" Around  "), y))
+    k, half = F.col("o_orderkey") % 6, F.month(d) <= 6
+    spelled = F.element_at(F.array(*map(F.lit, "一二三四")), F.quarter(d))
+    raw = F.when(k == 0, F.concat(F.lit("ＦＹ "), y)).when(k == 1, F.concat(y, F.lit("  q"), F.quarter(d), F.lit("。"))).when(k == 2, F.concat(y, F.when(half, "年上半年").otherwise(" h2")))
+    raw = raw.when(k == 3, F.concat(F.lit(" Around  "), y)).when(k == 4, F.concat(y, F.lit("年 第"), spelled, F.lit("季度"))).otherwise(F.concat(y, F.lit("年度")))
     return table(spark, sf_dir, "orders").select("o_orderkey", t.normal_period(raw).alias("period"), t.explicit_period(raw).alias("explicit_period"))
 
 

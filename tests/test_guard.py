@@ -23,6 +23,18 @@ def test_entry_without_llm(tmp_path):
     assert done.returncode == 0, done.stderr[-2000:]
 
 
+def test_entry_with_emptied_folder(tmp_path):
+    """What a deletion may leave: the pipeline's file, and a folder with nothing but caches in it."""
+    shutil.copytree(ROOT / "attestor", tmp_path / "attestor", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    (tmp_path / "attestor" / "llm" / "__pycache__").mkdir(parents=True)
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if (ROOT / name).exists():
+            shutil.copy(ROOT / name, tmp_path / name)
+    run = "import __spark_entry__ as e; assert e.queries() and 'pipeline' not in e.queries() and 'pipeline' not in e.oracle_sql()"
+    done = subprocess.run([sys.executable, "-B", "-c", run], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr[-2000:]
+
+
 def test_nothing_else_imports_llm():
     for path in ROOT.glob("attestor/**/*.py"):
         if "llm" not in path.parts:

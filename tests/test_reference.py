@@ -67,7 +67,7 @@ def test_weighted_goldens(spark, scores, total):
 @pytest.mark.parametrize(("tech", "ind", "overall"), [(82.75, 73.75, 79.15), (78.25, 24.5, 56.75), (39.38, 73.75, 53.13), (None, 70.0, None)])
 def test_composite_goldens(spark, tech, ind, overall):
     got = one(spark, scoring.composite(F.lit(tech).cast("double"), F.lit(ind).cast("double")))
-    assert got == overall or got == pytest.approx(overall, abs=0.011)
+    assert got == overall
 
 
 def test_weights_are_checked(spark):
@@ -88,7 +88,7 @@ def test_text_functions(spark):
     assert one(spark, t.contains_phrase(F.lit("the pilot line"), F.lit("pilot"))) and not one(spark, t.contains_phrase(F.lit("copilots"), F.lit("pilot")))
     assert one(spark, t.redact(F.lit("Bearer abc.def tvly-12345678 x"))) == "[redacted] [redacted] x"
     assert one(spark, t.char_grams(F.lit("abcabc"), 3)) == ["abc", "bca", "cab"] and one(spark, t.char_grams(F.lit("ab"), 3)) == ["ab"]
-    for raw, form in (("2024年 Q3", "2024Q3"), ("H1 2023", "2023H1"), ("FY 2022", "2022"), ("soon", "soon")):
+    for raw, form in (("2024年 Q3", "2024-Q3"), ("2023h1", "2023-H1"), ("2023年下半年", "2023-H2"), ("2024年第三季度", "2024-Q3"), ("FY 2022", "2022"), ("2022年度", "2022"), ("H1 2023", "h1 2023"), ("2024 q3 plan revised", "2024 q3 plan revised"), ("soon", "soon")):
         assert one(spark, t.normal_period(F.lit(raw))) == form
     assert tuple(one(spark, t.amount(F.lit(10.0), F.lit("亿元"), F.lit(None).cast("string")))) == (1e9, "CNY")
     assert tuple(one(spark, t.amount(F.lit(10.0), F.lit("亿元"), F.lit("USD")))) == (10.0, "亿元")
