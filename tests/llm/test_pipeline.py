@@ -14,6 +14,28 @@ from attestor.llm.common import table
 SF = "/root/testdata/sf0.001"
 
 
+def without_repeats(rows):
+    """Brute force: lines of windows of two lines that have occurred before, and of chunks that have."""
+    places, seen, out = {}, set(), {}
+    for d, t in sorted(rows):
+        lines = (t or "").split("\n")
+        filled = [i for i, line in enumerate(lines) if line.strip()]
+        gone = set()
+        for k, (a, b) in enumerate(zip(filled, filled[1:], strict=False)):
+            first = places.setdefault(tuple(lines[a : b + 1]), (d, k))
+            if first[0] != d or k > first[1] + 1:
+                gone |= set(range(a, b + 1))
+        at = 0
+        for chunk, n in op05_chunks.chunks_of(t or ""):
+            body = "\n".join(chunk)
+            if n >= 2 and body in seen:
+                gone |= set(range(at, at + len(chunk)))
+            seen |= {body} if n >= 2 else set()
+            at += len(chunk)
+        out[d] = (len(gone), "\n".join(line for i, line in enumerate(lines) if i not in gone))
+    return out
+
+
 def shingles(text):
     w = (text or "").encode().lower().split()
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
@@ -27,22 +49,11 @@ def test_pipeline(spark):
         n, _, _, _, repeats = op03_lines.base_counts(r["text"])
         if n >= 50 and 100 * repeats <= 50 * n:
             lines, sizes = op03_lines.line_features(r["text"])
-            if sum(s for s, y in zip(sizes, field.viterbi(lines), strict=True) if y) >= 0.5 * n:
+            if sum(s for s, y in zip(sizes, field.viterbi(lines), strict=True) if y) >= field.share * n:
                 rows[r["doc_id"]] = r["text"]
     assert 0 < len(rows) < docs.count()
 
-    seen, cut = set(), {}
-    for d in sorted(rows):
-        rest, gone = [], False
-        for lines, filled in op05_chunks.chunks_of(rows[d]):
-            body = "\n".join(lines)
-            if filled >= 2 and body in seen:
-                gone = True
-                continue
-            seen |= {body} if filled >= 2 else set()
-            rest.append(body)
-        if "".join(rest).strip() or not gone:
-            cut[d] = "\n".join(rest)
+    cut = {d: t for d, (gone, t) in without_repeats(list(rows.items())).items() if t.strip() or not gone}
 
     sets = {d: shingles(t) for d, t in cut.items()}
     group = {d: d for d in sets}
@@ -55,7 +66,7 @@ def test_pipeline(spark):
     ids = sorted(sets)
     for i, a in enumerate(ids):
         for b in ids[i + 1 :]:
-            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
                 x, y = sorted((top(a), top(b)))
                 group[y] = x
     single = {d: t for d, t in cut.items() if top(d) == d}
