@@ -171,10 +171,11 @@ def classes(docs: DataFrame, size: int = SIZE, bands: int = BANDS, rows: int = R
         at = members.where("members > 2").join(found.select(F.col("node").alias("id"), F.col("component").alias("c")), "id", "left").withColumn("c", F.coalesce("c", "id"))
         # members outside the leader's component, and a growing sample of all members
         mixed = at.groupBy("key").agg(F.max(F.when(F.col("id") == F.col("leader"), F.col("c"))).alias("c0"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("key", "c0")
-        at = at.join(mixed, "key")
-        at = at.join(at.groupBy("id").agg(F.collect_set("key").alias("keys")), "id")
+        open_keys = written(at.join(mixed, "key"), "mixed")
+        if open_keys.isEmpty():  # every bucket lies in one component, and components only grow
+            break
         chance = (F.pmod(F.xxhash64("key", "id"), F.lit(1 << 20)) / F.lit(1 << 20)) * F.col("members")
-        at = at.withColumn("chance", chance)
+        at = open_keys.join(open_keys.groupBy("id").agg(F.collect_set("key").alias("keys")), "id").withColumn("chance", chance)
         other = at.where("c <> c0").select("key", F.col("id").alias("b"), F.col("c").alias("cb"), "n", "u", F.col("keys").alias("kb"), F.col("chance").alias("xb"))
         probe = at.where((F.col("chance") >= before) & (F.col("chance") < share)).select("key", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("n0"), F.col("u").alias("u0"), F.col("keys").alias("ka"), F.expr("c <> c0").alias("outside"))
         # a pair that meets in several buckets is taken in the first of them only
@@ -183,6 +184,7 @@ def classes(docs: DataFrame, size: int = SIZE, bands: int = BANDS, rows: int = R
         once &= ~F.expr(f"outside and (xb < {before} or xb < {share} and a > b)")
         pairs = other.join(probe, (other["key"] == probe["key"]) & F.expr(f"ca <> cb and {alike}") & once).select(*pair).distinct()
         pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        dropped(spark, open_keys)
         fresh = written(_verified(pairs, sets, link), "linked")
         if not fresh.isEmpty():
             linked = linked.unionByName(fresh)
