@@ -153,13 +153,14 @@ def primary_chunks(chunks: DataFrame, layers: tuple[str, ...] = ("general", "ent
 # --- gates -------------------------------------------------------------------
 
 
-def relevance(pages: DataFrame, decisions: DataFrame, trusted: DataFrame, official: Column) -> DataFrame:
+def relevance(pages: DataFrame, decisions: DataFrame, trusted: DataFrame, official: Column, by: str = "canonical") -> DataFrame:
     """canonical, status, origin and downgrade of candidate pages (page_id, canonical, host, content): pages that have proven
     the identity or stand on the official host are relevant at once; for the others a decision (page_id, status, quote) counts
-    if it is the only one and its quote stands in the page. Missing, repeated and unproven decisions are uncertain."""
-    proven = trusted.select("canonical").distinct().withColumn("_proven", F.lit(True))
+    if it is the only one and its quote stands in the page. Missing, repeated and unproven decisions are uncertain. What is
+    proven holds for all pages of the same `by`: of a URL, or with page_id for the page alone."""
+    proven = trusted.select(by).distinct().withColumn("_proven", F.lit(True))
     each = decisions.groupBy("page_id").agg(F.count("*").alias("n"), F.first("status").alias("said"), F.first("quote").alias("quote"))
-    rows = pages.join(proven, "canonical", "left").join(each, "page_id", "left")
+    rows = pages.join(proven, by, "left").join(each, "page_id", "left")
     on_host = (F.col("host") == official) | F.endswith(F.col("host"), F.concat(F.lit("."), official))
     origin = F.when(F.col("_proven"), "identity_evidence").when(on_host, "official_host")
     fault = F.when(F.col("n").isNull(), "missing_model_decision").when(F.col("n") > 1, "duplicate_model_decision").when((F.col("said") != "uncertain") & ~occurs(F.col("quote"), F.col("content")), "evidence_quote_not_verified")

@@ -6,11 +6,13 @@ import datetime as dt
 import random
 import unicodedata
 
+import duckdb
 import pandas as pd
 import pytest
 from attestor.functions import text as t
 from attestor.functions.unicode import locate
 from attestor.operators import context, evaluation, knowledge, profiles, references, retrieval
+from attestor.plans import catalog
 from pyspark.sql import functions as F
 
 
@@ -245,3 +247,31 @@ def test_methods_and_rates(spark):
     both = spark.createDataFrame([("legacy", 1, "a b"), ("balanced", 1, "a b c"), ("balanced", 1, None)], "strategy string, case_id long, excerpt string")
     asked = spark.createDataFrame([(1, 1, "b c"), (1, 2, "a")], "case_id long, quote_id long, quote string")
     assert {r["strategy"]: (r["n_quotes"], r["n_whole"]) for r in evaluation.replay(both, asked).collect()} == {"legacy": (2, 1), "balanced": (2, 2)}
+
+
+# --- queries on tables made for them -----------------------------------------
+
+
+def like_sql(spark, folder, name, table, rows):
+    """A query's rows on one small table, compared with its SQL."""
+    frame = pd.DataFrame(rows)
+    frame.to_parquet(folder / f"{table}.parquet")
+    con = duckdb.connect()
+    con.register(table, frame)
+    result = con.execute(catalog.ORACLES[name])
+    columns = [d[0] for d in result.description]
+    got = catalog.QUERIES[name](spark, str(folder)).select(*columns).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(result.fetchall(), key=repr)
+    return got
+
+
+def test_a_proven_page_proves_no_other_page_of_its_url(spark, tmp_path):
+    got = like_sql(spark, tmp_path, "relevance_gate", "pages", [{"page_id": i, "url": "http://a.example.com/x", "html": f"<p>text of page {i}, long enough to be quoted from it</p>"} for i in range(1, 13)])
+    assert [r["page_id"] for r in got if r["origin"] == "identity_evidence"] == [11]
+
+
+def test_proofs_of_a_url_hold_for_all_its_pages(spark):
+    pages = spark.createDataFrame([(1, "u", "h", "text"), (2, "u", "h", "text")], "page_id long, canonical string, host string, content string")
+    none = spark.createDataFrame([], "page_id long, status string, quote string")
+    proven = lambda **by: sorted(r["page_id"] for r in references.relevance(pages, none, pages.where("page_id = 1"), F.lit("o"), **by).where("origin = 'identity_evidence'").collect())
+    assert proven() == [1, 2] and proven(by="page_id") == [1]
