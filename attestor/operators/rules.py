@@ -31,9 +31,9 @@ def same_site(host: Column, root: Column) -> Column:
 
 
 def affirmed(text: Column, keywords: list[str], negations: list[str], required: list[str] | None = None) -> Column:
-    """Whether a clause holds a keyword and none of the negations (and one of the required marks, if given)."""
+    """Whether a clause holds a keyword and none of the negations, if any (and one of the required marks, if given)."""
     has = lambda c, words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(c, w))
-    good = lambda c: has(c, keywords) & ~has(c, negations) & (has(c, required) if required else F.lit(True))
+    good = lambda c: has(c, keywords) & (~has(c, negations) if negations else F.lit(True)) & (has(c, required) if required else F.lit(True))
     return F.exists(clauses(F.lower(text)), good)
 
 

@@ -11,7 +11,7 @@ import pandas as pd
 import pytest
 from attestor.functions import text as t
 from attestor.functions.unicode import locate
-from attestor.operators import context, evaluation, knowledge, profiles, references, retrieval
+from attestor.operators import context, evaluation, knowledge, profiles, references, retrieval, rules
 from attestor.plans import catalog
 from pyspark.sql import functions as F
 
@@ -275,3 +275,14 @@ def test_proofs_of_a_url_hold_for_all_its_pages(spark):
     none = spark.createDataFrame([], "page_id long, status string, quote string")
     proven = lambda **by: sorted(r["page_id"] for r in references.relevance(pages, none, pages.where("page_id = 1"), F.lit("o"), **by).where("origin = 'identity_evidence'").collect())
     assert proven() == [1, 2] and proven(by="page_id") == [1]
+
+
+def test_keyword_rules_are_those_of_their_sql(spark, tmp_path):
+    texts = ["Licensed under MIT. It was never sold.", "it is not licensed", "Licensed；never", "never", "a\nlicensed", "", None]
+    got = like_sql(spark, tmp_path, "keyword_rules_scores", "documents", [{"doc_id": i, "text": x, "lang": "en", "source": "src0"} for i, x in enumerate(texts)])
+    assert {r["doc_id"]: r["licensed_clause"] for r in got} == {0: True, 1: True, 2: True, 3: False, 4: True, 5: False, 6: None}
+
+
+def test_negations_hold_within_their_clause(spark):
+    texts = ["Licensed. Never sold", "it is not licensed", "licensed；never", "never", None]
+    assert values(spark, texts, lambda x: rules.affirmed(x, ["licensed"], ["not licensed", "never"])) == [False, False, True, False, None]
